@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("phrases", "simhash", "sharding", "mixing")
+MODULES = ("phrases", "language", "simhash", "sharding", "mixing")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
