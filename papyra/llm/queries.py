@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("phrases", "language", "simhash", "sharding", "mixing", "decontamination")
+MODULES = ("phrases", "language", "simhash", "sharding", "mixing", "quality", "decontamination")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
