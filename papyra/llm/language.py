@@ -3,7 +3,8 @@
 A text becomes a vector of hashed n-grams (2 to 4 UTF-8 bytes, letters lower-cased, everything else one blank), weighted
 (1 + ln tf) * idf and scaled to length one.  Every language has up to ``clusters`` centroids; the language of the
 nearest one by cosine is the prediction and the cosine its score.  A text that is farther from that centroid than the
-farthest of the centroid's own members, with ``slack`` to spare, is rejected.
+farthest of the centroid's own members, with ``slack`` to spare, is rejected.  A short text cannot come near any centroid,
+so the least cosine shrinks with the root of the number of its distinct n-grams below ``full_grams``.
 
 The document frequencies come from all labelled rows.  The centroids are fitted on a bounded sample: the
 ``sample_rows`` labelled rows of each language with the least hashes of their doc_id, clustered in one small group per
@@ -34,6 +35,7 @@ ORDERS = (2, 3, 4)
 SAMPLE_ROWS = 300
 CLUSTERS = 4
 SLACK = 0.5
+FULL_GRAMS = 200
 UNKNOWN = "und"
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -170,13 +172,15 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
     if not len(model.of):
         return names, scores, out
     for lo, hi in _pieces(raw):
-        cosines = _vectors(_counts(raw, lo, hi, model.centroids.shape[1]), model.idf) @ model.centroids.T
+        counts = _counts(raw, lo, hi, model.centroids.shape[1])
+        share = np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=1) / FULL_GRAMS))
+        cosines = _vectors(counts, model.idf) @ model.centroids.T
         best = np.argmax(cosines, axis=1)
         for k in range(lo, hi):
             if _has_letter(raw[k].as_py()):
                 names[k] = model.languages[model.of[best[k - lo]]]
                 scores[k] = min(1.0, max(0.0, float(cosines[k - lo, best[k - lo]])))
-                out[k] = scores[k] < model.floors[best[k - lo]]
+                out[k] = scores[k] < share[k - lo] * model.floors[best[k - lo]]
     return names, scores, out
 
 
