@@ -45,10 +45,13 @@ def binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary()).fill_null(b"")
 
 
-def words_of(column: pa.Array, lo: int, hi: int) -> Words:
+def words_of(column: pa.Array, lo: int, hi: int, fold: np.ndarray | None = None) -> Words:
+    """Words of the texts ``lo`` to ``hi``; ``fold`` maps every byte first."""
     offsets = _offsets(column)[lo : hi + 1]
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, dtype=np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
+    if fold is not None:
+        data = fold[data]
     offsets = offsets - offsets[0]
     solid = ~_SPACE[data]
     begins, ends = solid.copy(), solid.copy()
