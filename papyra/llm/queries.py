@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("phrases", "language", "simhash", "sharding", "mixing", "quality", "decontamination", "warc")
+MODULES = ("phrases", "language", "simhash", "sharding", "licenses", "urls", "mixing", "quality", "decontamination", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
