@@ -96,7 +96,7 @@ ORACLES = {
     "op6_temporal_url_lists": r"""
     WITH pg AS (SELECT page_id, url, DATE '2020-01-01' + CAST(page_id * 37 % 1500 AS INTEGER) AS fetched,
                        nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
-                       list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), x -> x <> '') AS path FROM pages),
+                       list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS path FROM pages),
     listed AS (
         SELECT DISTINCT host AS pattern, 3 AS every, 'host' AS category FROM pg WHERE host IS NOT NULL
         UNION SELECT DISTINCT regexp_extract(host, '[^.]+\.[^.]+$'), 7, 'domain' FROM pg WHERE regexp_matches(host, '[.].*[.]')
