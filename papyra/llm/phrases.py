@@ -11,7 +11,8 @@ A window is ``window`` consecutive words of one document.  A word goes if a wind
    earliest place of each.  Windows that occur once are dropped.
 4. The confirmed windows are dealt into shards by their anchors.  Each task compiles the automaton of its shard over
    exact word numbers (pyahocorasick) and streams through it all segments whose anchors belong to that shard: text from
-   elsewhere cannot match.  Each match is an occurrence of a window together with its earliest place.
+   elsewhere cannot match.  Each match is an occurrence of a window together with its earliest place.  Windows that lie
+   in one distinct segment only are located already: their occurrences are that segment's own.
 5. Every occurrence of a segment takes over its matches, starts that are not the earliest are gathered by document, and
    the documents are read once more to leave those words out.
 
@@ -40,6 +41,7 @@ from papyra.workspace import Workspace
 WINDOW = 20
 ANCHOR = 8
 SHARD_WINDOWS = 20_000
+SENT_DIGESTS = 200_000
 #: Odd multipliers of the hash functions: two for words, then for runs of words.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _PLACE = np.uint64((1 << 28) - 1)
@@ -81,9 +83,12 @@ def anchor_table(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def segment_table(docs: DataFrame, places: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(anchor, doc, ver, at, a, b, words)``: the words of the windows that chose a recurring anchor, and their digest."""
+    """``(anchor, doc, ver, at, a, b, words)``: the windows that chose a recurring anchor: digest and words.
+
+    The words are null where the same task has sent them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()  # digests whose words this task has sent lately
         for batch in batches:
             text, doc, ver, wanted = binary(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3)
             lists, ends = np.asarray(wanted.flatten()), np.cumsum([len(x) for x in wanted])
@@ -103,7 +108,14 @@ def segment_table(docs: DataFrame, places: DataFrame, window: int, anchor: int)
                 row = words.row[begin]
                 joined, wstart, wend = bytes(words.data), words.start, words.end
                 parts = [b" ".join([joined[i:j] for i, j in zip(wstart[p:q].tolist(), wend[p:q].tolist(), strict=True)]) for p, q in zip(begin.tolist(), finish.tolist(), strict=True)]
-                digests = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), dtype="<i8").reshape(-1, 2)
+                keys = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
+                digests = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+                if len(sent) > SENT_DIGESTS:
+                    sent.clear()
+                for n, key in enumerate(keys):
+                    if key in sent:
+                        parts[n] = None
+                    sent.add(key)
                 columns = [runs[where].view(np.int64), doc[lo:hi][row], ver[lo:hi][row], (begin - words.first[row]).astype(np.int32), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["anchor", "doc", "ver", "at", "a", "b", "words"])
 
@@ -128,39 +140,47 @@ def window_places(segments: DataFrame, window: int) -> DataFrame:
     return segments.select("words", "n", "first.doc", "first.ver", "first.at").mapInArrow(run, "w1 long, w2 long, n long, doc long, ver int, at int, shift int")
 
 
+_MATCHES = "array<struct<shift:int,doc:long,ver:int,at:int>>"
+
+
 def _locate(window: int):
     """A task over rows sorted by shard, patterns first: each segment's matches with the earliest place of what matched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        shard, number, places, automaton = None, {}, [], None
+        shard, number, anchors, docs, vers, ats, automaton = None, {}, set(), [], [], [], None
         for batch in batches:
-            found: list[list] = [[], [], []]
-            shards, is_text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, upto = [], [0]
+            shift, doc, ver, at = [], [], [], []
+            shards, is_text, words, anchor, first, shifts = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6, 7))
             for k in range(batch.num_rows):
                 if shards[k] != shard:
-                    shard, number, places, automaton = shards[k], {}, [], None
-                ids = batch.column(2)[k].as_py().split(b" ")
+                    shard, number, anchors, docs, vers, ats, automaton = shards[k], {}, set(), [], [], [], None
                 if not is_text[k]:
                     if automaton is None:
                         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                    key = tuple(number.setdefault(w, len(number) + 1) for w in ids)
-                    first = batch.column(5)[k].as_py()
-                    for shift in batch.column(6)[k].as_py():
-                        automaton.add_word(key[shift : shift + window], len(places))
-                        places.append((first["doc"], first["ver"], first["at"] + shift))
-                elif automaton is not None:
+                    anchors.add(anchor[k])
+                    key = tuple([number.setdefault(w, len(number) + 1) for w in words[k].split(b" ")])
+                    for n in shifts[k]:
+                        automaton.add_word(key[n : n + window], len(docs))
+                        docs.append(first[k]["doc"])
+                        vers.append(first[k]["ver"])
+                        ats.append(first[k]["at"] + n)
+                elif anchor[k] in anchors:
                     if automaton.kind != ahocorasick.AHOCORASICK:
                         automaton.make_automaton()
-                    matches = [{"shift": end - window + 1, "doc": p[0], "ver": p[1], "at": p[2]} for end, n in automaton.iter(tuple(number.get(w, 0) for w in ids)) for p in (places[n],)]
-                    if matches:
-                        found[0].append(batch.column(3)[k].as_py())
-                        found[1].append(batch.column(4)[k].as_py())
-                        found[2].append(matches)
-            if found[0]:
-                kind = pa.list_(pa.struct([("shift", pa.int32()), ("doc", pa.int64()), ("ver", pa.int32()), ("at", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], kind)], names=["a", "b", "matches"])
+                    for end, n in automaton.iter(tuple([number.get(w, 0) for w in words[k].split(b" ")])):
+                        shift.append(end - window + 1)
+                        doc.append(docs[n])
+                        ver.append(vers[n])
+                        at.append(ats[n])
+                    if len(shift) > upto[-1]:
+                        rows.append(k)
+                        upto.append(len(shift))
+            if rows:
+                found = pa.StructArray.from_arrays([pa.array(shift, pa.int32()), pa.array(doc, pa.int64()), pa.array(ver, pa.int32()), pa.array(at, pa.int32())], names=["shift", "doc", "ver", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(rows)), batch.column(5).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)], names=["a", "b", "matches"])
 
     return run
 
@@ -174,25 +194,30 @@ def repeated_starts(docs: DataFrame, work: Workspace, window: int = WINDOW, anch
     segments = work.table(segment_table(docs, places, window, anchor), "segments")
     work.drop("places")
     first = F.min(F.struct("doc", "ver", "at")).alias("first")
-    distinct = segments.groupBy("a", "b").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.count("*").alias("n"), first)
+    distinct = segments.groupBy("a", "b").agg(F.first("anchor").alias("anchor"), F.max("words").alias("words"), F.count("*").alias("n"), first)
     distinct = work.table(distinct, "distinct")
     earliest = F.min(F.struct("doc", "ver", (F.col("at") + F.col("shift")).alias("start"), "at", "shift")).alias("e")
-    confirmed = window_places(distinct, window).groupBy("w1", "w2").agg(F.sum("n").alias("n"), earliest).where("n > 1")
-    confirmed = confirmed.groupBy("e.doc", "e.ver", "e.at").agg(F.collect_list("e.shift").alias("shifts"))
+    confirmed = window_places(distinct, window).groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("segments"), earliest).where("n > 1")
+    several = F.col("segments") > 1
+    confirmed = confirmed.groupBy("e.doc", "e.ver", "e.at").agg(F.collect_list(F.when(several, F.col("e.shift"))).alias("shifts"), F.collect_list(F.when(~several, F.col("e.shift"))).alias("own"))
     passages = distinct.join(confirmed, (F.col("first.doc") == F.col("doc")) & (F.col("first.ver") == F.col("ver")) & (F.col("first.at") == F.col("at")))
-    passages = work.table(passages.select("anchor", "words", "first", "shifts"), "passages")
+    passages = work.table(passages.select("anchor", "words", "a", "b", "first", "shifts", "own"), "passages")
     total = passages.agg(F.sum(F.size("shifts"))).first()[0] or 0
     shards = max(64, -(-total // shard_windows))
     shard = F.expr(f"cast(pmod(xxhash64(anchor), {shards}) as int)").alias("shard")
     none = F.lit(None)
-    patterns = passages.select(shard, F.lit(0).alias("is_text"), "words", none.cast("long").alias("a"), none.cast("long").alias("b"), "first", "shifts")
-    texts = distinct.select(shard, F.lit(1).alias("is_text"), "words", "a", "b", none.cast(_PLACE_SQL).alias("first"), none.cast("array<int>").alias("shifts"))
+    patterns = passages.where("size(shifts) > 0").select(shard, F.lit(0).alias("is_text"), "words", "anchor", none.cast("long").alias("a"), none.cast("long").alias("b"), "first", "shifts")
+    texts = distinct.select(shard, F.lit(1).alias("is_text"), "words", "anchor", "a", "b", none.cast(_PLACE_SQL).alias("first"), none.cast("array<int>").alias("shifts"))
     routed = patterns.unionByName(texts).repartition("shard").sortWithinPartitions("shard", "is_text")
-    matches = work.table(routed.mapInArrow(_locate(window), f"a long, b long, matches array<struct<shift:int,doc:long,ver:int,at:int>>"), "matches")
+    located = work.table(routed.mapInArrow(_locate(window), f"a long, b long, matches {_MATCHES}"), "located")
+    work.drop("distinct")
+    alone = passages.where("size(own) > 0").select("a", "b", F.expr("transform(own, s -> named_struct('shift', s, 'doc', first.doc, 'ver', first.ver, 'at', first.at + s))").cast(_MATCHES).alias("matches"))
+    matches = work.table(located.union(alone), "matches")
+    work.drop("passages", "located")
     later = F.expr("transform(filter(matches, m -> not (m.doc = doc and m.ver = ver and m.at = at + m.shift)), m -> at + m.shift)")
     moved = segments.select("a", "b", "doc", "ver", "at").join(matches, ["a", "b"]).select("doc", "ver", later.alias("starts")).where("size(starts) > 0")
     found = work.table(moved.groupBy("doc", "ver").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
-    work.drop("segments", "distinct", "passages", "matches")
+    work.drop("segments", "matches")
     return found
 
 
