@@ -10,6 +10,7 @@ import decimal
 import math
 import sys
 import time
+from fnmatch import fnmatch
 from pathlib import Path
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -78,7 +79,7 @@ def main(args: list[str]) -> int:
     spark.sparkContext.setLogLevel("OFF")
     con, found, queries, oracles = connect(sf_dir), 0, entry.queries(), entry.oracle_sql()
     for name in args[1:] or sorted(oracles):
-        name_list = [q for q in queries if q == name or (name.endswith("*") and q.startswith(name[:-1]))]
+        name_list = [q for q in queries if fnmatch(q, name)]
         for q in name_list:
             began = time.time()
             try:
