@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "graphs", "records", "online")
+MODULES: tuple[str, ...] = ("retrieval", "graphs", "records", "online", "streams")
 
 
 def queries() -> dict:
