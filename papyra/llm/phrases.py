@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.words import Words, binary, gram_hashes, pieces, sliding_min, word_hashes, words_of
+from papyra.llm.words import Words, binary, gram_hashes, pieces, range_hashes, sliding_min, word_hashes, words_of
 from papyra.workspace import Workspace
 
 WINDOW = 20
@@ -88,7 +88,7 @@ def segment_table(docs: DataFrame, places: DataFrame, window: int, anchor: int)
     The words are null where the same task has sent them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()  # digests whose words this task has sent lately
+        sent: set[tuple[int, int]] = set()  # digests whose words this task has sent lately
         for batch in batches:
             text, doc, ver, wanted = binary(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3)
             lists, ends = np.asarray(wanted.flatten()), np.cumsum([len(x) for x in wanted])
@@ -106,25 +106,23 @@ def segment_table(docs: DataFrame, places: DataFrame, window: int, anchor: int)
                     continue
                 begin, finish, where = starts[head], starts[tail - 1] + window, place[head]
                 row = words.row[begin]
+                one, two = (range_hashes(h, begin, finish, base).view(np.int64) for h, base in ((hashes, _BASES[3]), (word_hashes(words, _BASES[1]), _BASES[2])))
                 joined, wstart, wend = bytes(words.data), words.start, words.end
-                parts = [b" ".join([joined[i:j] for i, j in zip(wstart[p:q].tolist(), wend[p:q].tolist(), strict=True)]) for p, q in zip(begin.tolist(), finish.tolist(), strict=True)]
-                keys = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
-                digests = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
                 if len(sent) > SENT_DIGESTS:
                     sent.clear()
-                for n, key in enumerate(keys):
-                    if key in sent:
-                        parts[n] = None
+                parts = []
+                for key, p, q in zip(zip(one.tolist(), two.tolist(), strict=True), begin.tolist(), finish.tolist(), strict=True):
+                    parts.append(None if key in sent else b" ".join([joined[i:j] for i, j in zip(wstart[p:q].tolist(), wend[p:q].tolist(), strict=True)]))
                     sent.add(key)
-                columns = [runs[where].view(np.int64), doc[lo:hi][row], ver[lo:hi][row], (begin - words.first[row]).astype(np.int32), np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
+                columns = [runs[where].view(np.int64), doc[lo:hi][row], ver[lo:hi][row], (begin - words.first[row]).astype(np.int32), one, two]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["anchor", "doc", "ver", "at", "a", "b", "words"])
 
-    asked = docs.join(places, ["doc", "ver"]).select("text", "doc", "ver", "places")
+    asked = docs.join(places.hint("shuffle_hash"), ["doc", "ver"]).select("text", "doc", "ver", "places")
     return asked.mapInArrow(run, "anchor long, doc long, ver int, at int, a long, b long, words binary")
 
 
 def window_places(segments: DataFrame, window: int) -> DataFrame:
-    """``(w1, w2, n, doc, ver, at, shift)``: digests of the windows of each distinct segment, with the segment's earliest place."""
+    """``(w1, w2, n, doc, ver, start, shift)``: digests of the windows of each distinct segment, with the window's earliest place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +132,11 @@ def window_places(segments: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero(words.row[: len(words.row) - window + 1] == words.row[window - 1 :])
                 one, two = (gram_hashes(word_hashes(words, b), window, _BASES[3])[starts].view(np.int64) for b in _BASES[:2])
                 row = words.row[starts]
-                columns = [one, two, *(c[lo:hi][row] for c in rest), (starts - words.first[row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["w1", "w2", "n", "doc", "ver", "at", "shift"])
+                shift = (starts - words.first[row]).astype(np.int32)
+                n, doc, ver, at = (c[lo:hi][row] for c in rest)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, [one, two, n, doc, ver, at + shift, shift])), names=["w1", "w2", "n", "doc", "ver", "start", "shift"])
 
-    return segments.select("words", "n", "first.doc", "first.ver", "first.at").mapInArrow(run, "w1 long, w2 long, n long, doc long, ver int, at int, shift int")
+    return segments.select("words", "n", "first.doc", "first.ver", "first.at").mapInArrow(run, "w1 long, w2 long, n long, doc long, ver int, start int, shift int")
 
 
 _MATCHES = "array<struct<shift:int,doc:long,ver:int,at:int>>"
@@ -189,21 +188,21 @@ def repeated_starts(docs: DataFrame, work: Workspace, window: int = WINDOW, anch
     """``(doc, ver, starts)``: starts of the windows of ``_identified`` documents that also start earlier."""
     anchors = work.table(anchor_table(docs, window, anchor), "anchors")
     often = work.table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "recurring")
-    places = work.table(anchors.join(often, "anchor").groupBy("doc", "ver").agg(F.collect_list("at").alias("places")), "places")
+    places = work.table(anchors.join(often.hint("shuffle_hash"), "anchor").groupBy("doc", "ver").agg(F.collect_list("at").alias("places")), "places")
     work.drop("anchors", "recurring")
     segments = work.table(segment_table(docs, places, window, anchor), "segments")
     work.drop("places")
     first = F.min(F.struct("doc", "ver", "at")).alias("first")
     distinct = segments.groupBy("a", "b").agg(F.first("anchor").alias("anchor"), F.max("words").alias("words"), F.count("*").alias("n"), first)
     distinct = work.table(distinct, "distinct")
-    earliest = F.min(F.struct("doc", "ver", (F.col("at") + F.col("shift")).alias("start"), "at", "shift")).alias("e")
+    earliest = F.min(F.struct("doc", "ver", "start", "shift")).alias("e")
     confirmed = window_places(distinct, window).groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("segments"), earliest).where("n > 1")
     several = F.col("segments") > 1
-    confirmed = confirmed.groupBy("e.doc", "e.ver", "e.at").agg(F.collect_list(F.when(several, F.col("e.shift"))).alias("shifts"), F.collect_list(F.when(~several, F.col("e.shift"))).alias("own"))
-    passages = distinct.join(confirmed, (F.col("first.doc") == F.col("doc")) & (F.col("first.ver") == F.col("ver")) & (F.col("first.at") == F.col("at")))
+    confirmed = confirmed.groupBy("e.doc", "e.ver", (F.col("e.start") - F.col("e.shift")).alias("at")).agg(F.collect_list(F.when(several, F.col("e.shift"))).alias("shifts"), F.collect_list(F.when(~several, F.col("e.shift"))).alias("own"))
+    passages = distinct.join(confirmed.hint("shuffle_hash"), (F.col("first.doc") == F.col("doc")) & (F.col("first.ver") == F.col("ver")) & (F.col("first.at") == F.col("at")))
     passages = work.table(passages.select("anchor", "words", "a", "b", "first", "shifts", "own"), "passages")
     total = passages.agg(F.sum(F.size("shifts"))).first()[0] or 0
-    shards = max(64, -(-total // shard_windows))
+    shards = max(4096, -(-total // shard_windows))
     shard = F.expr(f"cast(pmod(xxhash64(anchor), {shards}) as int)").alias("shard")
     none = F.lit(None)
     patterns = passages.where("size(shifts) > 0").select(shard, F.lit(0).alias("is_text"), "words", "anchor", none.cast("long").alias("a"), none.cast("long").alias("b"), "first", "shifts")
@@ -215,19 +214,35 @@ def repeated_starts(docs: DataFrame, work: Workspace, window: int = WINDOW, anch
     matches = work.table(located.union(alone), "matches")
     work.drop("passages", "located")
     later = F.expr("transform(filter(matches, m -> not (m.doc = doc and m.ver = ver and m.at = at + m.shift)), m -> at + m.shift)")
-    moved = segments.select("a", "b", "doc", "ver", "at").join(matches, ["a", "b"]).select("doc", "ver", later.alias("starts")).where("size(starts) > 0")
+    moved = segments.select("a", "b", "doc", "ver", "at").join(matches.hint("shuffle_hash"), ["a", "b"]).select("doc", "ver", later.alias("starts")).where("size(starts) > 0")
     found = work.table(moved.groupBy("doc", "ver").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
     work.drop("segments", "matches")
     return found
 
 
-def _covered(words: Words, k: int, starts, window: int) -> np.ndarray:
-    gone = np.zeros(int(words.first[k + 1] - words.first[k]) + 1, dtype=np.int64)
-    if starts is not None and len(starts):
-        at = np.unique(np.asarray(starts))
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + window, -1)
-    return np.cumsum(gone)[:-1] > 0
+def _kept(words: Words, starts: pa.Array, window: int) -> tuple[np.ndarray, list[bytes]]:
+    """For each text the number of words removed, and the kept words joined by one space."""
+    n = len(words.start)
+    lists = np.asarray(starts.flatten())
+    sizes = np.fromiter((len(x) if x.is_valid else 0 for x in starts), dtype=np.int64, count=len(starts))
+    change = np.zeros(n + window + 1, dtype=np.int64)
+    at = np.unique(lists + np.repeat(words.first[:-1], sizes))
+    change[at] += 1
+    change[at + window] -= 1
+    stay = np.cumsum(change)[:n] == 0
+    removed = np.bincount(words.row[~stay], minlength=len(starts))
+    begin, end, row = words.start[stay], words.end[stay], words.row[stay]
+    edge = np.zeros(len(words.data) + 1, dtype=np.int8)
+    edge[begin] += 1
+    edge[end] -= 1  # words never touch, so no place is both
+    solid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    gaps = end[:-1][row[1:] == row[:-1]] if len(end) else end
+    data = words.data.copy()
+    data[gaps] = 0x20
+    solid[gaps] = True
+    upto = np.append(0, np.cumsum(np.bincount(row, weights=end - begin, minlength=len(starts)).astype(np.int64) + np.maximum(np.bincount(row, minlength=len(starts)) - 1, 0)))
+    joined = data[solid].tobytes()
+    return removed, [joined[i:j] for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_windows: int = SHARD_WINDOWS, with_text: bool = False) -> DataFrame:
@@ -240,22 +255,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             text = binary(batch.column(1))
             for lo, hi in pieces(text):
                 words = words_of(text, lo, hi)
-                joined, out = bytes(words.data), [[], [], []]
-                for k in range(hi - lo):
-                    i, j = int(words.first[k]), int(words.first[k + 1])
-                    gone = _covered(words, k, batch.column(2)[lo + k].as_py(), window)
-                    stay = np.flatnonzero(~gone) + i
-                    kept = b" ".join([joined[p:q] for p, q in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)])
-                    out[0].append(j - i)
-                    out[1].append(int(gone.sum()))
-                    out[2].append(kept)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in out[2]])]
+                removed, kept = _kept(words, batch.column(2).slice(lo, hi - lo), window)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if with_text:
-                    columns, names = [*columns, pa.array(out[2], pa.binary()).cast(pa.string())], [*names, "kept_text"]
+                    columns, names = [*columns, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    both = docs.join(starts, ["doc", "ver"], "left").select("doc_id", "text", "starts")
+    both = docs.join(starts.hint("shuffle_hash"), ["doc", "ver"], "left").select("doc_id", "text", "starts")
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 

@@ -101,6 +101,14 @@ def gram_hashes(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
     return mixed(out)
 
 
+def range_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the words from ``begin`` to before ``end``."""
+    sums = np.zeros(len(hashes) + 1, dtype=U64)
+    np.cumsum(hashes * _powers(base, len(hashes)), out=sums[1:], dtype=U64)
+    value = (sums[end] - sums[begin]) * _powers(pow(base, -1, 1 << 64), len(hashes))[begin]
+    return mixed(value + mixed((end - begin).astype(U64)))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of ``width`` neighbours, by doubling."""
     out, span = values, 1
