@@ -42,16 +42,14 @@ def _sources(counts: DataFrame, weights: dict[str, int] | None, block_rows: int,
     return listed.select(F.expr("transform(s, (x, i) -> struct(x.source as source, i as i, x.blocks as blocks, x.a as a, x.blocks div x.a as whole, x.blocks % x.a as rest))").alias("s"))
 
 
-def _periods(sources: DataFrame) -> DataFrame:
-    """``(kind, first_period, m array, slots, start)``: kinds of period in order, the first period and slot of each."""
+def _with_kinds(sources: DataFrame) -> DataFrame:
+    """Adds ``kinds``: array of (kind, first_period, m array, slots, start), the kinds of period in order."""
     cuts = sources.select("s", F.expr("array_sort(array_distinct(concat(array(0L), transform(s, x -> x.whole), transform(s, x -> x.whole + 1))))").alias("cuts"))
-    kinds = cuts.select("s", "cuts", F.posexplode("cuts").alias("kind", "first_period"))
-    mix = F.expr("transform(s, x -> cast(case when first_period < x.whole then x.a when first_period = x.whole then x.rest else 0 end as int))")
-    kinds = kinds.select("kind", "first_period", mix.alias("m"), F.expr("try_element_at(cuts, kind + 2)").alias("next_period"))
-    kinds = kinds.withColumn("slots", F.expr("aggregate(m, 0, (t, x) -> t + x)")).where("slots > 0")
-    taken = F.col("slots") * (F.col("next_period") - F.col("first_period"))
-    before = Window.partitionBy(F.lit(1)).orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
-    return kinds.select("kind", "first_period", "m", "slots", F.coalesce(F.sum(taken).over(before), F.lit(0)).cast("long").alias("start"))
+    mix = "transform(s, x -> cast(case when c < x.whole then x.a when c = x.whole then x.rest else 0 end as int))"
+    kinds = cuts.select("s", "cuts", F.expr(f"transform(cuts, (c, k) -> named_struct('kind', k, 'first_period', c, 'm', {mix}, 'periods', coalesce(try_element_at(cuts, k + 2) - c, 0L)))").alias("mixes"))
+    sized = kinds.select("s", F.expr("filter(transform(mixes, x -> named_struct('kind', x.kind, 'first_period', x.first_period, 'm', x.m, 'slots', aggregate(x.m, 0, (t, y) -> t + y), 'periods', x.periods)), x -> x.slots > 0)").alias("sized"))
+    start = "aggregate(slice(sized, 1, k), 0L, (t, y) -> t + y.slots * y.periods)"
+    return sized.select("s", F.expr(f"transform(sized, (x, k) -> named_struct('kind', x.kind, 'first_period', x.first_period, 'm', x.m, 'slots', x.slots, 'start', {start}))").alias("kinds"))
 
 
 def _pattern(periods: DataFrame) -> DataFrame:
@@ -84,11 +82,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     if totals.limit(max_sources + 1).count() > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     named = {f"={k}": v for k, v in weights.items()} if weights is not None else None
-    sources = _sources(totals, named, block_rows, resolution, exponent)
-    periods = _periods(sources)
-    pattern = _pattern(periods)
-    kinds = periods.agg(F.array_sort(F.collect_list(F.struct("kind", "first_period", "slots", "start"))).alias("kinds"))
-    facts = sources.select(F.explode("s").alias("x"), F.lit(1).alias("one")).join(kinds.withColumn("one", F.lit(1)), "one").select("x.source", "x.i", "x.a", "kinds")
+    sources = _with_kinds(_sources(totals, named, block_rows, resolution, exponent))
+    pattern = _pattern(sources.select(F.explode("kinds").alias("x")).select("x.*"))
+    kinds = F.expr("transform(kinds, x -> named_struct('kind', x.kind, 'first_period', x.first_period, 'slots', x.slots, 'start', x.start))").alias("kinds")
+    facts = sources.select(F.explode("s").alias("x"), kinds).select("x.source", "x.i", "x.a", "kinds")
     ranked = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash", "id")) - 1).cast("long"))
     placed = ranked.join(offsets, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset")).join(F.broadcast(facts), "source")
     placed = placed.select("row", "i", "a", "kinds", F.expr(f"rank div {block_rows}").alias("block"), F.expr(f"cast(rank % {block_rows} as int)").alias("in_block"))
