@@ -123,20 +123,23 @@ def document_frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int
 
 
 def _cluster(x: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids and the least cosine of each one's members."""
-    centre = x.sum(axis=0)
-    starts = [int(np.argmax(x @ centre))]
-    while len(starts) < min(clusters, len(x)):
-        nearest = (x @ x[starts].T).max(axis=1)
-        starts.append(int(np.argmin(nearest)))
-    centroids = x[starts]
+    """Spherical k-means: centroids and the least cosine of each one's members.
+
+    It starts from rows at even steps of the likeness to the mean; a cluster of less than a tenth of an even share
+    is dropped, so that one odd row is no centroid.
+    """
+    order = np.argsort(x @ x.sum(axis=0), kind="stable")
+    k = min(clusters, len(x))
+    centroids = x[order[(np.arange(k) * 2 + 1) * len(x) // (2 * k)]]
     for _ in range(12):
         mine = np.argmax(x @ centroids.T, axis=1)
-        sums = np.stack([x[mine == k].sum(axis=0) if (mine == k).any() else centroids[k] for k in range(len(centroids))])
+        sizes = np.bincount(mine, minlength=len(centroids))
+        stay = np.flatnonzero(sizes >= max(1, len(x) / (10 * k)))
+        sums = np.stack([x[mine == c].sum(axis=0) for c in stay])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cosines = x @ centroids.T
     mine = np.argmax(cosines, axis=1)
-    floors = np.array([cosines[mine == k, k].min() if (mine == k).any() else 1.0 for k in range(len(centroids))])
+    floors = np.array([cosines[mine == c, c].min() if (mine == c).any() else 1.0 for c in range(len(centroids))])
     return centroids, floors
 
 
@@ -144,6 +147,9 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS,
     frequencies, n = document_frequencies(docs, buckets)
     idf = np.log((1 + n) / (1 + frequencies)) + 1
     ranked = _learnable(docs).where("text is not null").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).alias("_hash"))
+    # first within many parts of a language, so that no task meets the candidates of all tasks
+    part = Window.partitionBy("_lang", "_part").orderBy("_hash", "_id")
+    ranked = ranked.withColumn("_part", F.expr("pmod(xxhash64(_id, 'part'), 64)")).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= sample_rows)
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
     sample = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_rows).select("_id", "_lang", "_hash")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample.select("_id", "_lang").distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", "doc_id")
