@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.workspace import Workspace
+
 WINDOW = 5
 CONTAINMENT = 0.8
 BROADCAST_ROWS = 500_000
@@ -72,14 +74,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     sizes = parts.groupBy("item").agg(F.count("*").alias("n_windows"))
     small = parts.limit(broadcast_rows + 1).count() <= broadcast_rows
     asked = F.broadcast(parts) if small else parts
-    facts = items.select("item_id", "item", F.col("words").alias("item_words"), F.col("canon").alias("item_canon")).join(sizes, "item")
+    facts = items.select("item_id", "item", F.col("words").alias("item_words"), F.col("canon").alias("item_canon"))
     documents = _documents(docs)
     hits = _windows(_canonised(documents), window, "doc", "ver").join(asked, "h").groupBy("doc", "ver", "item", "item_at").agg(F.min("at").alias("at"))
     pairs = hits.groupBy("doc", "ver", "item").agg(F.count("*").alias("n_found"), F.collect_list(F.struct("item_at", "at")).alias("places"))
-    pairs = pairs.join(F.broadcast(facts) if small else facts, "item").where(F.col("n_found") >= containment * F.col("n_windows"))
+    pairs = pairs.join(F.broadcast(sizes) if small else sizes, "item").where(F.col("n_found") >= containment * F.col("n_windows"))
+    pairs = Workspace(docs.sparkSession, "decontamination").table(pairs, "pairs")
     wanted = pairs.select("doc", "ver").distinct()
     texts = _canonised(documents.join(wanted, ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"]))
-    both = pairs.join(texts, ["doc", "ver"])
+    both = pairs.join(F.broadcast(facts) if small else facts, "item").join(texts, ["doc", "ver"])
     slots = F.expr(f"""array_distinct(filter(flatten(transform(places, p -> transform(sequence(0, {window - 1}),
         o -> case when get(item_canon, p.item_at + o) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(words, p.at + o) is not null
              then named_struct('i', p.item_at + o, 'a', lower(get(item_words, p.item_at + o)), 'b', lower(get(words, p.at + o))) end))), x -> x is not null))""")
