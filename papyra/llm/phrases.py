@@ -199,8 +199,10 @@ def repeated_starts(docs: DataFrame, work: Workspace, window: int = WINDOW, anch
     confirmed = window_places(distinct, window).groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("segments"), earliest).where("n > 1")
     several = F.col("segments") > 1
     confirmed = confirmed.groupBy("e.doc", "e.ver", (F.col("e.start") - F.col("e.shift")).alias("at")).agg(F.collect_list(F.when(several, F.col("e.shift"))).alias("shifts"), F.collect_list(F.when(~several, F.col("e.shift"))).alias("own"))
+    confirmed = work.table(confirmed, "confirmed")
     passages = distinct.join(confirmed.hint("shuffle_hash"), (F.col("first.doc") == F.col("doc")) & (F.col("first.ver") == F.col("ver")) & (F.col("first.at") == F.col("at")))
     passages = work.table(passages.select("anchor", "words", "a", "b", "first", "shifts", "own"), "passages")
+    work.drop("confirmed")
     total = passages.agg(F.sum(F.size("shifts"))).first()[0] or 0
     shards = max(4096, -(-total // shard_windows))
     shard = F.expr(f"cast(pmod(xxhash64(anchor), {shards}) as int)").alias("shard")
