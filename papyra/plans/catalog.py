@@ -231,7 +231,7 @@ ORACLES = {
         qw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qt JOIN idf USING (term)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
         s AS (SELECT qw.query_id, w.doc_id, round(sum(qw.w * w.w) / (any_value(qn.norm) * any_value(nd.norm)), 6) AS score FROM qw JOIN w USING (term) JOIN qn ON qn.query_id = qw.query_id JOIN nd ON nd.doc_id = w.doc_id GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.query_id AND e.doc_id = s.doc_id)) WHERE rank <= 10""",
-    "l9_reviews": f"{_E}, l AS (SELECT user_id, k, relevance AS rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS n FROM telemetry WHERE relevance IS NOT NULL) WHERE n = 1) SELECT k, count(*) AS n, sum(rating) AS score, max(CASE WHEN user_id = 1 THEN rating END) AS own FROM l GROUP BY k",
+    "l9_reviews": f"{_E}, l AS (SELECT user_id, k, relevance AS rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS n FROM telemetry WHERE relevance IS NOT NULL) WHERE n = 1) SELECT k, count(*) AS n, CAST(sum(rating) AS BIGINT) AS score, max(CASE WHEN user_id = 1 THEN rating END) AS own FROM l GROUP BY k",
     "l10_comments": "SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) USING (doc_id)",
     "l12_author_works": f"{_C} SELECT author, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, unnest(topics) AS author FROM corpus) GROUP BY author",
     "l14_profiles": f"{_E}, l AS (SELECT user_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS n FROM telemetry WHERE kind IN ('click', 'save')) WHERE n = 1 AND kind = 'click') SELECT user_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS follows FROM l GROUP BY user_id",
@@ -263,7 +263,7 @@ ORACLES = {
     "p7_matrix": f"""{_E}, e AS (SELECT DISTINCT kind, rank, 1 AS seen FROM telemetry WHERE k < 40), w AS (SELECT kind, CAST(r AS INTEGER) AS rank, 1 AS asked FROM (SELECT DISTINCT kind FROM e), range(1, 31) x(r))
         SELECT kind, CASE WHEN seen IS NULL THEN 'missing' WHEN asked IS NULL THEN 'extra' ELSE 'completed' END AS status, count(*) AS n FROM w FULL JOIN e USING (kind, rank) GROUP BY ALL""",
     "q1_eligible": f"{_E} SELECT arm, CASE WHEN c_mktsegment IS NULL THEN 'no actor' WHEN c_mktsegment = 'BUILDING' THEN 'staff' WHEN kind = 'provider_failed' THEN 'no results' ELSE 'eligible' END AS why, count(*) AS n FROM telemetry LEFT JOIN customer ON c_custkey = user_id GROUP BY ALL",
-    "q7_usage": f"{_E} SELECT day, sum(k * 10) AS prompt, sum(k) AS completion, round(sum(latency_ms) / 1e6, 6) AS cost, round(count(*) FILTER (k % 4 = 0) / count(*), 6) AS cache_rate FROM telemetry GROUP BY day",
+    "q7_usage": f"{_E} SELECT day, CAST(sum(k * 10) AS BIGINT) AS prompt, CAST(sum(k) AS BIGINT) AS completion, round(sum(latency_ms) / 1e6, 6) AS cost, round(count(*) FILTER (k % 4 = 0) / count(*), 6) AS cache_rate FROM telemetry GROUP BY day",
     "q12_upsert": f"{_E} SELECT user_id, k, kind, event_id, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k, kind ORDER BY ts DESC, event_id DESC) AS n FROM telemetry) WHERE n = 1",
     "q16_sample_size": f"{_E} SELECT arm, count(DISTINCT user_id) AS users, count(DISTINCT user_id) >= 60 AS enough FROM telemetry GROUP BY arm",
 }

@@ -178,7 +178,7 @@ _TEMPORAL = f"""ts AS (SELECT q.query_id, p.doc_id, round(sum(ln(1 + (n - df + 0
 
 ORACLES = {
     "q2_first_per_day": f"{_E} SELECT user_id, kind, day, event_id, of FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind, day ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id, kind, day) AS of FROM telemetry) WHERE n = 1",
-    "q3_attribution": f"""{_E} SELECT a.event_id, a.arm, count(*) AS n, count(*) FILTER (b.kind = 'click') AS clicks, coalesce(sum(b.relevance), 0) AS relevance FROM telemetry a JOIN telemetry b ON a.user_id = b.user_id AND a.k = b.k AND a.kind = 'impression'
+    "q3_attribution": f"""{_E} SELECT a.event_id, a.arm, count(*) AS n, count(*) FILTER (b.kind = 'click') AS clicks, CAST(coalesce(sum(b.relevance), 0) AS BIGINT) AS relevance FROM telemetry a JOIN telemetry b ON a.user_id = b.user_id AND a.k = b.k AND a.kind = 'impression'
         AND b.kind IN ('click', 'save', 'relevance') AND b.rank <= 10 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR GROUP BY ALL""",
     "q4_outcomes": f"""{_E} SELECT arm, count(*) AS n, round(count(*) FILTER (kind = 'click') / nullif(count(*) FILTER (kind = 'impression'), 0), 6) AS ctr, round(count(*) FILTER (kind = 'save') / nullif(count(*) FILTER (kind = 'impression'), 0), 6) AS save_rate,
         round(count(*) FILTER (relevance = 1) / nullif(count(relevance), 0), 6) AS positive_rate, round(count(*) FILTER (kind = 'provider_failed') / count(*), 6) AS failure_rate FROM telemetry GROUP BY arm""",

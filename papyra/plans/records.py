@@ -185,7 +185,7 @@ ORACLES = {
             max(citations) AS citations, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(*) AS n_records FROM p GROUP BY identifier""",
     "d12_conflicts": f"WITH {_COPIES} SELECT identifier, count(DISTINCT source) AS n_sources, count(*) AS n FROM r GROUP BY identifier HAVING count(DISTINCT source) > 1",
     "d15_keep_latest": f"WITH {V.TELEMETRY} SELECT user_id, kind, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ts DESC, event_id DESC) AS n FROM telemetry) WHERE n = 1",
-    "d19_units": f"WITH {_COPIES} SELECT provider, source, count(*) AS fetched, count(language) AS eligible, sum(citations) AS citations FROM r GROUP BY ROLLUP (provider, source)",
+    "d19_units": f"WITH {_COPIES} SELECT provider, source, count(*) AS fetched, count(language) AS eligible, CAST(sum(citations) AS BIGINT) AS citations FROM r GROUP BY ROLLUP (provider, source)",
     "e7_latest": f"WITH {V.TELEMETRY} SELECT user_id, kind, event_id, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ts DESC, event_id DESC) AS n FROM telemetry WHERE kind <> 'impression') WHERE n = 1",
     "e9_dimensions": f"WITH {V.CORPUS}, d AS (SELECT language, venue, CASE WHEN is_retracted THEN 'retracted' ELSE 'fine' END AS status FROM corpus) SELECT language, venue, status, count(*) AS n FROM d GROUP BY GROUPING SETS ((language), (venue), (status))",
     "f1_scope": f"WITH {V.CORPUS} SELECT {_CODE} AS code, count(*) AS n FROM corpus GROUP BY 1",
@@ -194,10 +194,10 @@ ORACLES = {
         n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('seed-2' || chr(0) || doc_id), doc_id) AS round FROM s) SELECT doc_id, stratum, round FROM n ORDER BY round, stratum LIMIT 60""",
     "f7_terciles": f"WITH {V.CORPUS} SELECT doc_id, citation_count, {_TERCILE} AS tercile FROM corpus",
     "g3_completeness": f"WITH {V.CORPUS}, c AS (SELECT * REPLACE (CASE WHEN doc_id % 7 <> 0 THEN language END AS language) FROM corpus) SELECT {', '.join(f'''round(avg(CASE WHEN trim(coalesce({x}, '')) <> '' THEN 1.0 ELSE 0.0 END), 6) AS {x}''' for x in ('title', 'retrieval_text', 'venue', 'language'))} FROM c",
-    "g4_duplicates": rf"""WITH {V.CORPUS}, c AS (SELECT doc_id, {_TITLE} AS t, year(publication_date) AS y FROM corpus) SELECT 'title' AS what, coalesce(sum(n), 0) AS n FROM (SELECT count(*) AS n FROM c GROUP BY t HAVING count(*) > 1)
-        UNION ALL SELECT 'title-year', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM c GROUP BY t, y HAVING count(*) > 1) UNION ALL SELECT 'id', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM c GROUP BY doc_id HAVING count(*) > 1)""",
+    "g4_duplicates": rf"""WITH {V.CORPUS}, c AS (SELECT doc_id, {_TITLE} AS t, year(publication_date) AS y FROM corpus) SELECT 'title' AS what, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM c GROUP BY t HAVING count(*) > 1)
+        UNION ALL SELECT 'title-year', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c GROUP BY t, y HAVING count(*) > 1) UNION ALL SELECT 'id', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c GROUP BY doc_id HAVING count(*) > 1)""",
     "g6_quality_gate": f"""WITH {V.CORPUS}, m AS (SELECT avg(CASE WHEN length(retrieval_text) >= 60 THEN 1.0 ELSE 0.0 END) AS a, count(*) FILTER (publication_date > DATE '2024-12-01') AS f, avg(CASE WHEN is_retracted THEN 1.0 ELSE 0.0 END) AS r FROM corpus)
-        SELECT name, round(value, 6) AS value, allowed, passed FROM (SELECT 'abstract_completeness' AS name, a AS value, 0.95 AS allowed, a >= 0.95 AS passed FROM m UNION ALL SELECT 'future_dates', f, 0.0, f <= 0 FROM m UNION ALL SELECT 'retracted_share', r, 0.05, r <= 0.05 FROM m)""",
+        SELECT name, round(value, 6) AS value, CAST(allowed AS DOUBLE) AS allowed, passed FROM (SELECT 'abstract_completeness' AS name, a AS value, 0.95 AS allowed, a >= 0.95 AS passed FROM m UNION ALL SELECT 'future_dates', f, 0.0, f <= 0 FROM m UNION ALL SELECT 'retracted_share', r, 0.05, r <= 0.05 FROM m)""",
     "g7_top_values": f"""WITH {V.CORPUS}, u AS (SELECT 'language' AS field, language AS value FROM corpus UNION ALL SELECT 'venue', venue FROM corpus UNION ALL SELECT 'year', CAST(year(publication_date) AS VARCHAR) FROM corpus),
         n AS (SELECT field, coalesce(nullif(trim(value), ''), 'unknown') AS value, count(*) AS n FROM u GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS place FROM n) WHERE place <= 25""",
     "m13_constraints": f"""WITH {V.QUERIES_SQL}, q AS (SELECT *, CASE WHEN query_id % 9 = 0 THEN 'odd' ELSE 'ad_hoc' END AS kind FROM queries) SELECT query_id, 'blank_text' AS rule FROM q WHERE trim(text) = ''
