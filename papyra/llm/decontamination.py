@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     pairs = pairs.join(F.broadcast(sizes) if small else sizes, "item").where(F.col("n_found") >= containment * F.col("n_windows"))
     pairs = Workspace(docs.sparkSession, "decontamination").table(pairs, "pairs")
     wanted = pairs.select("doc", "ver").distinct()
-    texts = _canonised(documents.join(wanted, ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"]))
+    texts = _canonised(documents.join(wanted.hint("shuffle_hash"), ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"]))
     both = pairs.join(F.broadcast(facts) if small else facts, "item").join(texts, ["doc", "ver"])
     slots = F.expr(f"""array_distinct(filter(flatten(transform(places, p -> transform(sequence(0, {window - 1}),
         o -> case when get(item_canon, p.item_at + o) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(words, p.at + o) is not null
