@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.text import jaccard
 from papyra.operators.components import connected_components
 from papyra.workspace import Workspace
 
@@ -113,3 +114,22 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     found = [rows.where(c).select(key, F.lit(name).alias("rule")) for name, c in rules.items()]
     found.append(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("duplicate").alias("rule")))
     return reduce(DataFrame.union, found)
+
+
+def similar_sets(rows: DataFrame, least: float) -> DataFrame:
+    """``(one, two, jaccard)`` of ``rows(doc_id, w)`` whose word sets have a Jaccard of at least ``least``.
+
+    Equal sets collapse first and are named by their smallest row. Two sets that are this similar share one of their
+    size - ceil(least * size) + 1 rarest words, so only those words are joined on, never the common ones.
+    """
+    sets = rows.select("doc_id", F.array_sort("w").alias("w")).groupBy("w").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    sets = sets.select("w", "ids", F.get("ids", F.lit(0)).alias("doc_id"))
+    df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    words = sets.select("doc_id", F.explode("w").alias("word")).join(df, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    keys = words.select("doc_id", F.transform("r", lambda x: x["word"]).alias("w"), F.explode(F.expr(f"slice(r, 1, cast(size(r) - ceil({least} * size(r)) + 1 as int))")).alias("k")).select("doc_id", "w", F.col("k.word").alias("key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.w").alias("u"), F.col("b.w").alias("v"))
+    near = near.select("x", "y", F.round(jaccard(F.col("u"), F.col("v")), 6).alias("jaccard")).where(F.col("jaccard") >= least).distinct()
+    # links between different sets by their first rows; of equal sets each row is linked to the first
+    same = sets.select("doc_id", F.explode("ids").alias("y")).where("y <> doc_id").select(F.col("doc_id").alias("one"), F.col("y").alias("two"), F.lit(1.0).alias("jaccard"))
+    return near.select(F.col("x").alias("one"), F.col("y").alias("two"), "jaccard").union(same)

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import scalars as S
-from papyra.functions.text import jaccard
 from papyra.operators import fusion, graph, ranking
 from papyra.operators import records as R
 from papyra.operators import telemetry as T
@@ -47,7 +46,7 @@ def l6_stats(spark, sf_dir):
 
 def l7_library(spark, sf_dir):
     """Documents like those a user saved: their first 20 titles are one query, what is saved already is left out."""
-    e = V.telemetry(spark, sf_dir).where("kind = 'save' and user_id % 20 = 0").select("user_id", F.col("k").cast("long").alias("doc_id")).distinct()
+    e = V.telemetry(spark, sf_dir).where("kind = 'save'").select("user_id", F.col("k").cast("long").alias("doc_id")).distinct()
     place = Window.partitionBy("user_id").orderBy("doc_id")
     titles = e.join(_corpus(spark, sf_dir).select("doc_id", "title"), "doc_id").withColumn("n", F.row_number().over(place)).where("n <= 20")
     asked = titles.groupBy(F.col("user_id").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]), " ").alias("text"))
@@ -135,12 +134,9 @@ def f10_alternate(spark, sf_dir):
 
 
 def f14_similar_titles(spark, sf_dir):
-    """Pairs of items of which one repeats most of the other's words; only pairs that share their rarest-looking word are compared."""
-    w = V.table(spark, sf_dir, "documents").where("doc_id < 400").select("doc_id", F.array_distinct(F.split(S.normalize_title(F.substring("text", 1, 60)), " ")).alias("w"))
-    keyed = w.select("doc_id", "w", F.explode("w").alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("one"), F.col("b.doc_id").alias("two"), F.round(jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
-    return pairs.where("jaccard >= 0.8").distinct()
+    """Pairs of titles of which one repeats most of the other's words (Jaccard of at least 0.8)."""
+    w = V.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(S.normalize_title(F.substring("text", 1, 60)), " ")).alias("w"))
+    return R.similar_sets(w, 0.8)
 
 
 def f17_feasible(spark, sf_dir):
@@ -176,7 +172,7 @@ def p6_best(spark, sf_dir):
 
 def p7_matrix(spark, sf_dir):
     """Registered against observed runs."""
-    e = V.telemetry(spark, sf_dir).where("k < 40").select("kind", "rank").distinct().withColumn("seen", F.lit(1))
+    e = V.telemetry(spark, sf_dir).select("kind", "rank").distinct().withColumn("seen", F.lit(1))
     want = spark.range(1, 31).select(F.col("id").cast("int").alias("rank")).crossJoin(F.broadcast(e.select("kind").distinct().limit(10))).withColumn("asked", F.lit(1))  # 300 rows
     both = want.join(e, ["kind", "rank"], "full")
     status = F.when(F.col("seen").isNull(), "missing").when(F.col("asked").isNull(), "extra").otherwise("completed")
@@ -226,7 +222,7 @@ ORACLES = {
     "l6_stats": f"{_C} SELECT count(*) AS works, count(DISTINCT venue) AS sources, count(DISTINCT language) AS languages, count(*) FILTER (is_retracted) AS retracted FROM corpus",
     "l7_library": f"""WITH {V.TELEMETRY}, {V.CORPUS}, {V.INDEX}, grams AS MATERIALIZED (SELECT doc_id, unnest({V.bigrams_sql("toks")}) AS term FROM doc_tokens), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
         idf AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term), w AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), nd AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-        e AS (SELECT DISTINCT user_id, CAST(k AS BIGINT) AS doc_id FROM telemetry WHERE kind = 'save' AND user_id % 20 = 0), t AS (SELECT user_id, title, row_number() OVER (PARTITION BY user_id ORDER BY doc_id) AS n FROM e JOIN corpus USING (doc_id)),
+        e AS (SELECT DISTINCT user_id, CAST(k AS BIGINT) AS doc_id FROM telemetry WHERE kind = 'save'), t AS (SELECT user_id, title, row_number() OVER (PARTITION BY user_id ORDER BY doc_id) AS n FROM e JOIN corpus USING (doc_id)),
         q AS (SELECT user_id AS query_id, string_agg(title, ' ' ORDER BY n) AS text FROM t WHERE n <= 20 GROUP BY 1), qk AS (SELECT query_id, {V.tokens_sql('text')} AS toks FROM q), qt AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({V.bigrams_sql('toks')}) AS term FROM qk) GROUP BY ALL),
         qw AS (SELECT query_id, term, (1 + ln(tf)) * idf AS w FROM qt JOIN idf USING (term)), qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
         s AS (SELECT qw.query_id, w.doc_id, round(sum(qw.w * w.w) / (any_value(qn.norm) * any_value(nd.norm)), 6) AS score FROM qw JOIN w USING (term) JOIN qn ON qn.query_id = qw.query_id JOIN nd ON nd.doc_id = w.doc_id GROUP BY 1, 2)
@@ -253,14 +249,15 @@ ORACLES = {
     "f8_split": """WITH q AS (SELECT item_id AS query_id, CAST(item_id % 3 AS VARCHAR) AS stratum FROM benchmark), n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('7:' || query_id), query_id) AS n FROM q),
         d AS (SELECT query_id FROM n ORDER BY n, sha256('7:' || stratum) LIMIT 10) SELECT query_id, stratum, CASE WHEN query_id IN (SELECT query_id FROM d) THEN 'dev' ELSE 'test' END AS split FROM q""",
     "f10_alternate": "SELECT item_id AS query_id, CAST((row_number() OVER (ORDER BY sha256('a:' || item_id), item_id) - 1) % 2 AS INTEGER) AS author FROM benchmark",
-    "f14_similar_titles": f"""WITH w AS (SELECT doc_id, list_distinct(string_split({_T('substr(text, 1, 60)')}, ' ')) AS w FROM documents WHERE doc_id < 400)
-        SELECT one, two, jaccard FROM (SELECT a.doc_id AS one, b.doc_id AS two, round(len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.doc_id < b.doc_id) WHERE jaccard >= 0.8""",
+    "f14_similar_titles": f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(string_split({_T('substr(text, 1, 60)')}, ' '))) AS w FROM documents), s AS (SELECT w, min(doc_id) AS doc_id FROM t GROUP BY w),
+        p AS (SELECT a.doc_id AS one, b.doc_id AS two, round(len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM s a JOIN s b ON a.doc_id < b.doc_id)
+        SELECT one, two, jaccard FROM p WHERE jaccard >= 0.8 UNION ALL SELECT s.doc_id, t.doc_id, 1.0 FROM t JOIN s ON s.w = t.w AND s.doc_id <> t.doc_id""",
     "f17_feasible": f"{_C} SELECT language, count(*) FILTER (code IS NULL) AS available, count(*) FILTER (code IS NULL) >= 50 AS feasible FROM (SELECT language, {_CODE} AS code FROM corpus) GROUP BY language",
     "g2_window": f"{_C} SELECT count(*) FILTER (publication_date BETWEEN DATE '2017-01-01' AND DATE '2022-12-31') AS kept, count(*) FILTER (publication_date < DATE '2017-01-01') AS past, count(*) FILTER (publication_date > DATE '2022-12-31') AS future, count(*) FILTER (publication_date IS NULL) AS missing, min(year(publication_date)) AS first_year, max(year(publication_date)) AS last_year FROM corpus",
     "g11_resolved": f"WITH {V.EDGES} SELECT citing, count(*) AS n, count(coalesce(cited, CASE WHEN p_partkey <> citing THEN p_partkey END)) AS resolved FROM edges LEFT JOIN part ON ref = 'part:' || p_partkey AND p_partkey % 2 = 0 GROUP BY citing",
     "p1_contract": f"{_E}, w AS (SELECT arm, count(DISTINCT kind) AS kind, count(DISTINCT day) AS day, count(DISTINCT user_id) AS user_id FROM telemetry GROUP BY arm) SELECT arm, field, n FROM (SELECT arm, 'kind' AS field, kind AS n FROM w UNION ALL SELECT arm, 'day', day FROM w UNION ALL SELECT arm, 'user_id', user_id FROM w) WHERE n > 1",
     "p6_best": f"{_E}, g AS (SELECT kind, rank, round(avg(latency_ms), 6) AS main, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM telemetry GROUP BY ALL) SELECT kind, rank, main, p95 FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY main DESC, p95, rank) AS n FROM g) WHERE n = 1",
-    "p7_matrix": f"""{_E}, e AS (SELECT DISTINCT kind, rank, 1 AS seen FROM telemetry WHERE k < 40), w AS (SELECT kind, CAST(r AS INTEGER) AS rank, 1 AS asked FROM (SELECT DISTINCT kind FROM e), range(1, 31) x(r))
+    "p7_matrix": f"""{_E}, e AS (SELECT DISTINCT kind, rank, 1 AS seen FROM telemetry), w AS (SELECT kind, CAST(r AS INTEGER) AS rank, 1 AS asked FROM (SELECT DISTINCT kind FROM e), range(1, 31) x(r))
         SELECT kind, CASE WHEN seen IS NULL THEN 'missing' WHEN asked IS NULL THEN 'extra' ELSE 'completed' END AS status, count(*) AS n FROM w FULL JOIN e USING (kind, rank) GROUP BY ALL""",
     "q1_eligible": f"{_E} SELECT arm, CASE WHEN c_mktsegment IS NULL THEN 'no actor' WHEN c_mktsegment = 'BUILDING' THEN 'staff' WHEN kind = 'provider_failed' THEN 'no results' ELSE 'eligible' END AS why, count(*) AS n FROM telemetry LEFT JOIN customer ON c_custkey = user_id GROUP BY ALL",
     "q7_usage": f"{_E} SELECT day, CAST(sum(k * 10) AS BIGINT) AS prompt, CAST(sum(k) AS BIGINT) AS completion, round(sum(latency_ms) / 1e6, 6) AS cost, round(count(*) FILTER (k % 4 = 0) / count(*), 6) AS cache_rate FROM telemetry GROUP BY day",

@@ -20,7 +20,7 @@ def l3_latest(spark, sf_dir):
 
 def l8_topical(spark, sf_dir):
     """Each part of a list of topics is a query of its own: what it finds, with the topic as the reason."""
-    b = V.table(spark, sf_dir, "benchmark").where("item_id < 8")
+    b = V.table(spark, sf_dir, "benchmark")
     topics = b.select("item_id", F.posexplode(F.split("text", r"[.]")).alias("i", "topic")).where(F.length(F.trim("topic")) > 10).select((F.col("item_id") * 100 + F.col("i")).alias("query_id"), F.trim("topic").alias("text"))
     from papyra.operators import ranking
     from papyra.plans.retrieval import _docs
@@ -29,7 +29,7 @@ def l8_topical(spark, sf_dir):
 
 
 def l11_library_sizes(spark, sf_dir):
-    users = V.table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("user_id"), "c_name")
+    users = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
     saved = V.telemetry(spark, sf_dir).where("kind = 'save'").select("user_id", "k").distinct().groupBy("user_id").agg(F.count("*").alias("n"))
     return users.join(saved, "user_id", "left").na.fill(0, ["n"])
 
@@ -171,11 +171,11 @@ _V = "v AS (SELECT doc_id, 'arxiv' AS source, 'preprint' AS version FROM documen
 
 ORACLES = {
     "l3_latest": f"{_C} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN publication_date END AS d FROM corpus ORDER BY d DESC NULLS LAST, doc_id LIMIT 6",
-    "l8_topical": f"""WITH {V.INDEX}, tp AS (SELECT item_id * 100 + i AS query_id, trim(t[i + 1]) AS text FROM (SELECT item_id, string_split(text, '.') AS t FROM benchmark WHERE item_id < 8), unnest(range(0, len(t))) u(i) WHERE length(trim(t[i + 1])) > 10),
+    "l8_topical": f"""WITH {V.INDEX}, tp AS (SELECT item_id * 100 + i AS query_id, trim(t[i + 1]) AS text FROM (SELECT item_id, string_split(text, '.') AS t FROM benchmark), unnest(range(0, len(t))) u(i) WHERE length(trim(t[i + 1])) > 10),
         tt AS (SELECT DISTINCT query_id, unnest({V.tokens_sql('text')}) AS term FROM tp), s AS (SELECT q.query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
         FROM tt q JOIN postings p USING (term) JOIN term_stats USING (term) JOIN doc_stats d ON d.doc_id = p.doc_id, stats GROUP BY ALL)
         SELECT query_id, doc_id, score, rank, text AS reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) JOIN tp USING (query_id) WHERE rank <= 5""",
-    "l11_library_sizes": f"{_E}, s AS (SELECT user_id, count(DISTINCT k) AS n FROM telemetry WHERE kind = 'save' GROUP BY 1) SELECT c_custkey AS user_id, c_name, coalesce(n, 0) AS n FROM customer LEFT JOIN s ON user_id = c_custkey WHERE c_custkey < 200",
+    "l11_library_sizes": f"{_E}, s AS (SELECT user_id, count(DISTINCT k) AS n FROM telemetry WHERE kind = 'save' GROUP BY 1) SELECT c_custkey AS user_id, c_name, coalesce(n, 0) AS n FROM customer LEFT JOIN s ON user_id = c_custkey",
     "l13_explanations": rf"""{_BT(5)}, x AS (SELECT a.query_id, a.doc_id, a.rank, b.rank AS other FROM bm25 a JOIN tfidf b USING (query_id, doc_id))
         SELECT query_id, x.doc_id, CASE WHEN rank <= other THEN 'bm25' ELSE 'tfidf' END AS channel, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[\p{{L}}\p{{N}}_-]{{3,}}')), list_distinct(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_-]{{3,}}'))))[1:6], ' ') AS terms
         FROM x JOIN benchmark q ON q.item_id = query_id JOIN documents d ON d.doc_id = x.doc_id""",

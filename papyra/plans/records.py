@@ -48,7 +48,7 @@ def c_costs_and_dates(spark, sf_dir):
 
 
 def c16_matched_terms(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     b = V.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
     return d.join(b, "item_id").select("doc_id", "item_id", F.array_join(S.matched_terms(F.col("q"), F.col("text")), " ").alias("terms"))
 
@@ -173,7 +173,7 @@ ORACLES = {
     "c_costs_and_dates": f"""WITH {V.TELEMETRY} SELECT event_id, CASE WHEN k % 7 <> 0 THEN round((greatest(k * 10 - k * 4, 0) * 2.5 + k * 4 * CASE WHEN k % 2 = 0 THEN 1.25 ELSE 2.5 END + (k + 1) * 10.0) / 1000000, 9) END AS cost,
         CASE WHEN k % 3 = 0 THEN day ELSE DATE '2019-12-31' END AS date FROM telemetry""",
     "c16_matched_terms": r"""WITH w AS (SELECT doc_id, item_id, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_-]{3,}')) AS q, list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_-]{3,}')) AS t
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE doc_id < 300) SELECT doc_id, item_id, array_to_string(list_sort(list_intersect(q, t))[1:6], ' ') AS terms FROM w""",
+        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40) SELECT doc_id, item_id, array_to_string(list_sort(list_intersect(q, t))[1:6], ' ') AS terms FROM w""",
     "b8_pages": r"""WITH t AS (SELECT page_id, url, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS x FROM pages)
         SELECT page_id, url AS identifier, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, length(x) AS n_chars, md5(x) AS digest FROM t""",
     "d6_clusters": f"""WITH RECURSIVE {_COPIES}, ids AS (SELECT doc_id, 'text:' || identifier AS i FROM r UNION ALL SELECT doc_id, 'head:' || source || ':' || substr(title, 1, 20) FROM r), l AS (SELECT i, min(doc_id) AS head FROM ids GROUP BY i),
