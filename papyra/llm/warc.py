@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.operators.samples import least_hashed
 from papyra.workspace import Workspace
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -64,7 +65,7 @@ def train_dictionary(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> byte
     import zstandard
 
     sample = pages.select("page_id", F.substring("payload", 1, 65_536).alias("payload")).where(F.length("payload") > 0)
-    rows = sample.orderBy(F.xxhash64("page_id", F.lit("dictionary")), "page_id").limit(sample_pages).collect()  # bounded
+    rows = least_hashed(sample, "page_id", sample_pages, "dictionary").collect()  # bounded
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["payload"]) for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
