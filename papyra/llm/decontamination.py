@@ -5,7 +5,9 @@ a sentence) and units (after a number) are typed placeholders.  Windows of ``win
 are hashed on both sides and joined.  A document holds a benchmark item if it has at least ``containment`` of the item's
 distinct template windows and the slots agree: every value in the item's placeholders goes with one value in the
 document's (the same one in a copy, another one in a question with new numbers and names), for at least
-``containment`` of the slots.
+``containment`` of the slots.  A window may stand in many places of a document, so both are asked of alignments: for each
+shift at which any window stands, the nearest place of every window, out to each distance that holds enough windows; and
+the first place of every window.  One alignment that meets both is enough.
 
 The benchmark side is broadcast only while its windows, counted first, are at most ``broadcast_rows``; a larger benchmark
 is joined by exchanges on both sides, which Spark may split where a window is hot.  Document windows are matched before
@@ -20,7 +22,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.workspace import Workspace
@@ -28,6 +30,7 @@ from papyra.workspace import Workspace
 WINDOW = 5
 CONTAINMENT = 0.8
 BROADCAST_ROWS = 500_000
+PAIR = ("doc", "ver", "item")
 #: Units that make a placeholder after a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mg g kg t lb oz ml cl dl l gal s sec min h hr hrs hz khz mhz ghz kb mb gb tb w kw v a j kj n pa kpa bar k c f percent usd eur gbp dollar dollars euro euros cent cents "
@@ -66,6 +69,37 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("ver"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
 
 
+def _places(texts: DataFrame, pairs: DataFrame, parts: DataFrame, facts: DataFrame, small: bool, window: int) -> DataFrame:
+    """For each pair every place in the document of each item window, as a shift against the item, with its slots' values."""
+    held = _windows(texts, window, "doc", "ver").join(F.broadcast(parts) if small else parts, "h").join(pairs.select(*PAIR), list(PAIR), "left_semi")
+    both = held.join(texts.select("doc", "ver", "words"), ["doc", "ver"]).join(F.broadcast(facts.drop("item_id")) if small else facts.drop("item_id"), "item")
+    slots = F.expr(f"""filter(transform(sequence(0, {window - 1}),
+        o -> case when get(item_canon, item_at + o) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(words, at + o) is not null
+             then named_struct('i', item_at + o, 'a', lower(get(item_words, item_at + o)), 'b', lower(get(words, at + o))) end), x -> x is not null)""")
+    return both.select(*PAIR, "item_at", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), slots.alias("slots"))
+
+
+def _alignments(places: DataFrame) -> DataFrame:
+    """``PAIR``, origin, picked: for each shift in a pair the place of each item window that is nearest to it, and how far away that is.
+
+    The origin below all shifts takes the first place of each window.  Two sorts of places and origins, no pairs of places.
+    """
+    start = -(2**40)
+    origins = places.groupBy(*PAIR).agg(F.collect_set("shift").alias("shifts"), F.collect_set("item_at").alias("asked"))
+    origins = origins.withColumn("item_at", F.explode("asked")).withColumn("origin", F.explode(F.concat("shifts", F.array(F.lit(start).cast("long")))))
+    place = F.struct("shift", "slots")
+    both = places.select(*PAIR, "item_at", F.col("shift").alias("pos"), place.alias("place"), F.lit(None).cast("long").alias("origin"))
+    both = both.unionByName(origins.select(*PAIR, "item_at", F.col("origin").alias("pos"), "origin"), allowMissingColumns=True)
+    one = Window.partitionBy(*PAIR, "item_at").rowsBetween(Window.unboundedPreceding, 0)
+    is_origin = F.col("origin").isNotNull()
+    both = both.withColumn("before", F.last("place", ignorenulls=True).over(one.orderBy("pos", is_origin)))
+    both = both.withColumn("after", F.last("place", ignorenulls=True).over(one.orderBy(F.col("pos").desc(), is_origin))).where(is_origin)
+    earlier = F.col("after").isNull() | (F.col("origin") - F.col("before.shift") <= F.col("after.shift") - F.col("origin"))
+    nearest = both.withColumn("best", F.when(F.col("before").isNotNull() & earlier, F.col("before")).otherwise(F.col("after")))
+    away = F.abs(F.col("best.shift") - F.col("origin"))
+    return nearest.groupBy(*PAIR, "origin").agg(F.collect_list(F.struct(away.alias("away"), F.col("best.slots").alias("slots"))).alias("picked"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_found, containment, n_slots, n_consistent, kind)``; kind: exact or template."""
     item_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -76,23 +110,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     asked = F.broadcast(parts) if small else parts
     facts = items.select("item_id", "item", F.col("words").alias("item_words"), F.col("canon").alias("item_canon"))
     documents = _documents(docs)
-    hits = _windows(_canonised(documents), window, "doc", "ver").join(asked, "h").groupBy("doc", "ver", "item", "item_at").agg(F.min("at").alias("at"))
-    pairs = hits.groupBy("doc", "ver", "item").agg(F.count("*").alias("n_found"), F.collect_list(F.struct("item_at", "at")).alias("places"))
-    pairs = pairs.join(F.broadcast(sizes) if small else sizes, "item").where(F.col("n_found") >= containment * F.col("n_windows"))
-    pairs = Workspace(docs.sparkSession, "decontamination").table(pairs, "pairs")
+    hits = _windows(_canonised(documents), window, "doc", "ver").join(asked, "h").groupBy("doc", "ver", "item").agg(F.count_distinct("item_at").alias("n_found"))
+    pairs = hits.join(F.broadcast(sizes) if small else sizes, "item").where(F.col("n_found") >= containment * F.col("n_windows")).drop("n_found")
+    work = Workspace(docs.sparkSession, "decontamination")
+    pairs = work.table(pairs, "pairs")
     wanted = pairs.select("doc", "ver").distinct()
-    texts = _canonised(documents.join(wanted.hint("shuffle_hash"), ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"]))
-    both = pairs.join(F.broadcast(facts) if small else facts, "item").join(texts, ["doc", "ver"])
-    slots = F.expr(f"""array_distinct(filter(flatten(transform(places, p -> transform(sequence(0, {window - 1}),
-        o -> case when get(item_canon, p.item_at + o) in ('{NUMBER}', '{NAME}', '{UNIT}') and get(words, p.at + o) is not null
-             then named_struct('i', p.item_at + o, 'a', lower(get(item_words, p.item_at + o)), 'b', lower(get(words, p.at + o))) end))), x -> x is not null))""")
-    both = both.withColumn("slots", slots)
+    texts = work.table(_canonised(documents.join(wanted.hint("shuffle_hash"), ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"])).drop("text"), "texts")
+    places = _places(texts, pairs, parts, facts, small, window)
+    both = _alignments(places).join(pairs, list(PAIR))
+    near = "filter(picked, p -> p.away <= radius)"
+    reached = F.expr(f"filter(array_distinct(transform(picked, p -> p.away)), r -> size(filter(picked, p -> p.away <= r)) >= {containment} * n_windows)")
+    both = both.withColumn("radius", F.explode(reached)).withColumn("n_found", F.expr(f"size({near})")).withColumn("slots", F.expr(f"array_distinct(flatten(transform({near}, p -> p.slots)))"))
     consistent = F.expr("size(filter(slots, x -> size(filter(slots, y -> y.a = x.a and y.b <> x.b)) = 0))")
     same = F.expr("size(filter(slots, x -> x.a <> x.b)) = 0")
     both = both.withColumn("n_slots", F.size("slots")).withColumn("n_consistent", consistent).where(F.col("n_consistent") >= containment * F.col("n_slots"))
+    both = both.join(texts.select("doc", "ver", "doc_id"), ["doc", "ver"]).join(F.broadcast(facts.select("item", "item_id")) if small else facts.select("item", "item_id"), "item")
     share = F.round(F.col("n_found") / F.col("n_windows"), 6)
-    found = both.select("doc_id", "item_id", "doc", "item", "n_windows", "n_found", share.alias("containment"), "n_slots", "n_consistent", F.when(same, F.lit("exact")).otherwise(F.lit("template")).alias("kind"))
-    best = found.groupBy("doc", "item").agg(F.max(F.struct("containment", "n_found", "n_consistent", "n_slots", "kind", "n_windows", "doc_id", "item_id")).alias("x"))
+    found = both.select("doc_id", "item_id", "doc", "item", "n_windows", "n_found", share.alias("containment"), "n_slots", "n_consistent", same.alias("same"), F.when(same, F.lit("exact")).otherwise(F.lit("template")).alias("kind"))
+    best = found.groupBy("doc", "item").agg(F.max(F.struct("containment", "n_found", "n_consistent", "n_slots", "same", "kind", "n_windows", "doc_id", "item_id")).alias("x"))
     return best.select("x.doc_id", "x.item_id", "x.n_windows", "x.n_found", "x.containment", "x.n_slots", "x.n_consistent", "x.kind")
 
 

@@ -45,6 +45,23 @@ def test_leaks_copies_and_clean_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in bad)
 
 
+def test_copies_behind_other_uses_of_their_windows(spark):
+    maths = "A train leaves the town and Alice walks 12 km to Bob, then Alice pays 30 euros and waits 12 minutes before the train that Bob took comes back."
+    same_shape = "A train leaves the town and Carol walks 7 km to Dan, then Carol pays 55 euros and waits 7 minutes before the train that Dan took comes back."
+    mixed_up = "A train leaves the town and Carol walks 7 km to Dan, then Emma pays 55 euros and waits 9 minutes before the train that Frank took comes back."
+    other = mixed_up.replace("Carol", "Gina").replace("55", "56")
+    stray = "Once more and Hugo walks 8 km to Ida, said the man."
+    longer = maths.replace("before the train", "before the very late train")
+    edited = maths.replace("A train leaves the town and Alice walks 12 km", "and Alice ran 12 km")
+    texts = [mixed_up + " " + maths, f"{mixed_up} {other} {same_shape} {other}", f"{mixed_up} {longer}", f"{stray} {'so it is ' * 40} {edited}", f"{mixed_up} {other}", " ".join([mixed_up] * 30 + [maths])]
+    docs = spark.createDataFrame([(k, t, "c", 1) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(50, maths, "c")], ITEMS)
+    for limit in (500_000, 3):
+        kinds = {r.doc_id: r.kind for r in contaminated(docs, bench, broadcast_rows=limit).collect()}
+        assert 4 not in kinds and kinds[0] == "exact" and kinds[1] == "template" and kinds[2] == "exact" and kinds[5] == "exact"
+    assert [r.doc_id for r in without_benchmark(docs, bench).where("doc_id <> 3").collect()] == [4]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     some = spark.createDataFrame([(1, "a b c d e f", "c", 1)], DOCS)
