@@ -1,7 +1,7 @@
 """A corpus from raw documents to training shards: language, near-duplicates, benchmark, mixture, shards.
 
-Each stage reads all that the stage before it kept, as Parquet in the shared folder.  All but the last return the
-columns of ``documents``; the last adds where each row goes.
+Each stage reads all that the stage before it kept, as Parquet in the shared folder.  They return the columns
+of ``documents``; the mixture adds ``mixed_order``, by which the last stage numbers the slots of each shard.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: the order of the rows in the written files is the decision."""
-    return mixing.in_mixed_order(docs)
+    """All documents with their place in the mixture, ``mixed_order``."""
+    return mixing.mix(docs).select(*docs.columns, "mixed_order")
 
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its size, checksum, shard and slot."""
-    return sharding.shard_documents(docs, SHARDS)
+    """Every document with its size, checksum, shard and slot; slots follow the mixture."""
+    return sharding.shard_documents(docs, SHARDS, order="mixed_order" if "mixed_order" in docs.columns else None)
 
 
 STAGES = [

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RING_BITS = 14
+#: Values of ``order`` in a range in which rows of a shard are ranked together.
+TURNS = 65_536
 VIRTUAL_NODES = 64
 
 
@@ -79,23 +81,40 @@ def _with_slots(placed: dict[int, list[tuple[int, int]]]) -> list[tuple[int, lis
     return rows
 
 
-def _facts(docs: DataFrame, columns: list[str], ring_bits: int) -> DataFrame:
+def _facts(docs: DataFrame, columns: list[str], ring_bits: int, order: str | None = None) -> DataFrame:
     octets = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    facts = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("string").alias("key"), (F.octet_length(octets) + F.lit(1)).cast("long").alias("size"), F.crc32(octets).alias("text_crc32"))
+    turn = [F.col(order).cast("long").alias("turn")] if order else []
+    facts = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("string").alias("key"), (F.octet_length(octets) + F.lit(1)).cast("long").alias("size"), F.crc32(octets).alias("text_crc32"), *turn)
     facts = facts.withColumn("hash", F.when(F.col("key").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("key")))
     return facts.withColumn("cell", F.expr(f"cast(shiftrightunsigned(hash, {64 - ring_bits}) as int)"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, virtual_nodes: int = VIRTUAL_NODES, ring_bits: int = RING_BITS, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with size, text_crc32, shard and slot."""
-    kept = [c for c in columns or docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+def _in_turn(found: DataFrame) -> DataFrame:
+    """Slots inside each shard by ``turn``: ranks in ranges of turns, with offsets, never a window over a shard."""
+    found = found.withColumn("range", F.expr(f"turn div {TURNS}"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.groupBy("shard", "range").agg(F.count("*").alias("rows"))
+    offsets = counts.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"))
+    ranked = found.withColumn("rank", (F.row_number().over(Window.partitionBy("shard", "range").orderBy("turn")) - 1).cast("long"))
+    return ranked.join(offsets, ["shard", "range"]).withColumn("slot", F.col("rank") + F.col("offset"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, virtual_nodes: int = VIRTUAL_NODES, ring_bits: int = RING_BITS, columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with size, text_crc32, shard and slot.
+
+    ``order`` names a column of distinct whole numbers by which slots count up inside each shard; it is not returned.
+    """
+    kept = [c for c in columns or docs.columns if c not in ("size", "text_crc32", "shard", "slot", order)]
     counts = {r["cell"]: r["count"] for r in _facts(docs, kept, ring_bits).groupBy("cell").count().collect()}  # at most 2 ** ring_bits numbers
     rows = _with_slots(walk(counts, shards, virtual_nodes, ring_bits))
     plan = docs.sparkSession.createDataFrame(rows, "cell int, ranges array<struct<upto:long,shard:int,shift:long>>")
-    order = Window.partitionBy("cell").orderBy("hash", "key", "text_crc32", "size")
-    ranked = _facts(docs, kept, ring_bits).withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    ties = ["hash", "key", "text_crc32", "size"] + (["turn"] if order else [])
+    ranked = _facts(docs, kept, ring_bits, order).withColumn("rank", (F.row_number().over(Window.partitionBy("cell").orderBy(*ties)) - 1).cast("long"))
     found = ranked.join(F.broadcast(plan), "cell").withColumn("mine", F.expr("filter(ranges, x -> rank < x.upto)[0]"))
-    return found.select("row.*", "size", "text_crc32", F.col("mine.shard").alias("shard"), (F.col("rank") + F.col("mine.shift")).alias("slot"))
+    found = found.withColumn("shard", F.col("mine.shard")).withColumn("slot", F.col("rank") + F.col("mine.shift"))
+    if order:
+        found = _in_turn(found.select("row", "size", "text_crc32", "shard", "turn"))
+    return found.select("row.*", "size", "text_crc32", "shard", "slot")
 
 
 def op4_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

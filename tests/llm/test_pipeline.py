@@ -36,6 +36,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "benchmark_decontamination"
 
 
+def test_slots_follow_the_mixture(spark):
+    rows = [(i % 990, f"text {i}", "hot" if i % 3 else f"s{i % 7}") for i in range(1000)] + [(None, "no id", "hot")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").localCheckpoint()
+    order = {r.mixed_order: (r.doc_id, r.text) for r in mixed.collect()}
+    place = {}
+    for at in sorted(order):
+        place.setdefault(order[at], at)
+    got = corpus_pipeline.deal_into_shards(spark, mixed, "").collect()
+    without = corpus_pipeline.deal_into_shards(spark, docs, "").collect()
+    assert "mixed_order" not in got[0] and len(got) == len(rows)
+    for shard in range(16):
+        mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        turns = [place[r.doc_id, r.text] for r in mine if r.doc_id is not None]
+        assert turns == sorted(turns)
+    assert {(r.doc_id, r.text, r.shard, r.slot) for r in got} != {(r.doc_id, r.text, r.shard, r.slot) for r in without}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
