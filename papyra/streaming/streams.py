@@ -10,17 +10,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from papyra.workspace import Workspace
 
+FILES_AT_ONCE = 4
+
 
 def replay(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """The table as a stream of files, whether it is one file or a folder of them."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
+    """The table as a stream of files, whether it is one file or a folder of them.
+
+    More files than one micro-batch takes are first written in ranges of ``ts``, so that no row is late and runs are
+    counted in order; where the file system cannot keep that order, all files are one micro-batch.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    files = len(table.inputFiles())
+    if files <= FILES_AT_ONCE:
+        return spark.readStream.schema(table.schema).parquet(f"{path}*")
+    work = Workspace(spark, f"replay-{name}")
+    ts = F.col("ts").cast("timestamp")
+    work.table(table.repartitionByRange(files, ts).sortWithinPartitions(ts), "ordered")
+    reader = spark.readStream.schema(table.schema)
+    if _dated_by_name(spark, work.path("ordered")):
+        reader = reader.option("maxFilesPerTrigger", FILES_AT_ONCE)
+    return reader.parquet(work.path("ordered"))
+
+
+def _dated_by_name(spark: SparkSession, folder: str) -> bool:
+    """Gives the files of ``folder`` modification times, by which a stream takes them, in the order of their numbers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = lambda: sorted((int(x.getPath().getName().split("-")[1]), x.getPath().getName(), x) for x in fs.listStatus(path) if x.getPath().getName().startswith("part-"))
+    listed = [x for _, _, x in parts()]
+    first = min(x.getModificationTime() for x in listed) - 1000
+    try:
+        for k, x in enumerate(listed):
+            fs.setTimes(x.getPath(), first + 10 * k, -1)
+    except Py4JJavaError:  # not every file system has it
+        return False
+    return [x.getModificationTime() for _, _, x in parts()] == [first + 10 * k for k in range(len(listed))]
 
 
 def drain(stream: DataFrame, work: Workspace, name: str, mode: str = "append") -> DataFrame:
