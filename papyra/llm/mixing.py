@@ -9,21 +9,34 @@ The schedule repeats every M slots, a period.  A source with n blocks and weight
 and, with the n % a blocks that are left, in one more; then it is used up and the others share its slots in proportion
 to their weights.  So there are at most 2 * sources + 1 kinds of period, each kind is scheduled once (a fold over its M
 slots), and every row finds its slot by arithmetic and one join with that bounded table.  No row is dropped or repeated.
-
-Rows are ranked inside a source without a window over the source: a hash deals each source into many buckets, the
-bucket counts give the offsets, and only the rank inside the bucket needs a sort.
-
-Defined cases: null sources form one source of their own; null doc_ids, null or empty texts and repeated rows are
-placed like any other row; an empty table gives an empty result; columns of ``docs`` that clash with the added ones are
-replaced.  More than ``max_sources`` sources are refused, since weights for them could not be meant.
+The driver sees two numbers a kind of period, never a row.
+
+Rows are ranked inside a source without a window over the source: the leading bits of a hash of doc_id deal each source
+into ranges, more of them the more rows there are, their counts give the offsets, and only the rank inside a range needs
+a sort.  The result does not depend on the number of ranges.
+
+Defined cases: null sources form one source of their own; rows go by the hash of their doc_id, equal or null doc_ids by a
+checksum of the whole row (so null doc_ids spread over the ranges too), and only rows that are equal in every column are
+interchangeable; null, empty or very long texts and repeated rows are placed like any other row; an empty table gives an
+empty result; columns of ``docs`` that clash with the added ones are replaced, others are kept whatever their names.
+Weights are divided by their greatest common divisor; more than ``max_sources`` sources, weights that are not positive and
+weights that then sum to more than ``max_slots`` are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.llm.rows import checksum
+from papyra.llm.rows import columns as quoted
+
 BLOCK_ROWS = 64
+#: Rows in a range of hashes, about; entries of the schedule up to which it is broadcast.
+RANGE_ROWS = 100_000
+BROADCAST_ENTRIES = 1_000_000
 ADDED = ("block", "in_block", "weight", "period_weight", "period_slots", "release", "deadline", "slot", "mixed_order")
 
 
@@ -69,29 +82,57 @@ def _pattern(periods: DataFrame) -> DataFrame:
     return found.select("kind", "i", "k", "at", F.floor(F.col("k") * F.col("slots") / F.col("mi")).cast("long").alias("release_at"), F.ceil((F.col("k") + 1) * F.col("slots") / F.col("mi")).cast("long").alias("deadline_at"), "mi", "slots")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = 200, exponent: float = 0.5, buckets: int = 512, max_sources: int = 4096, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) and ``ADDED``; ``mixed_order`` sorts the rows into the mixture."""
+def _kind_of(period: str, first: list[int]) -> Column:
+    """How many of the ascending ``first`` periods are at most ``period``: a search by halves in a literal."""
+    listed = f"array({', '.join(f'{x}L' for x in first)})"
+    steps = ", ".join(str(1 << k) for k in reversed(range(len(first).bit_length())))
+    return F.expr(f"aggregate(array({steps}), 0, (lo, step) -> case when lo + step <= {len(first)} and get({listed}, lo + step - 1) <= {period} then lo + step else lo end)")
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, resolution: int | None = None, exponent: float = 0.5, range_rows: int = RANGE_ROWS, max_sources: int = 4096, max_slots: int = 65_536, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and ``ADDED``; ``mixed_order`` sorts the rows into the mixture.
+
+    Without ``weights`` a source weighs rows ** exponent, in steps of a ``resolution``-th of all (200, and four a source at least).
+    """
     kept = [c for c in columns or docs.columns if c not in ADDED]
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix"))
-    rows = docs.select(F.struct(*kept).alias("row"), name.alias("source"), F.col("doc_id").alias("id"), hashed.alias("hash")).withColumn("bucket", F.expr(f"cast(pmod(hash, {buckets}) as int)"))
-    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"))
-    totals = counts.groupBy("source").agg(F.sum("rows").alias("rows"))
-    if totals.limit(max_sources + 1).count() > max_sources:
+    sum_ = checksum(docs)
+    hashed = F.when(F.col("doc_id").isNull(), sum_).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")))
+    rows = docs.select(F.struct(*quoted(kept)).alias("row"), name.alias("source"), F.col("doc_id").alias("id"), hashed.alias("hash"), sum_.alias("sum"))
+    totals = docs.select(name.alias("source")).groupBy("source").agg(F.count("*").alias("rows"))
+    size = totals.agg(F.count("*").alias("sources"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    if size["sources"] > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    named = {f"={k}": v for k, v in weights.items()} if weights is not None else None
-    sources = _with_kinds(_sources(totals, named, block_rows, resolution, exponent))
-    pattern = _pattern(sources.select(F.explode("kinds").alias("x")).select("x.*"))
-    kinds = F.expr("transform(kinds, x -> named_struct('kind', x.kind, 'first_period', x.first_period, 'slots', x.slots, 'start', x.start))").alias("kinds")
-    facts = sources.select(F.explode("s").alias("x"), kinds).select("x.source", "x.i", "x.a", "kinds")
-    ranked = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("source", "bucket").orderBy("hash", "id")) - 1).cast("long"))
-    placed = ranked.join(offsets, ["source", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset")).join(F.broadcast(facts), "source")
-    placed = placed.select("row", "i", "a", "kinds", F.expr(f"rank div {block_rows}").alias("block"), F.expr(f"cast(rank % {block_rows} as int)").alias("in_block"))
+    named = None
+    if weights is not None:
+        if min(weights.values(), default=1) < 1:
+            raise ValueError("weights are whole numbers from 1")
+        shared = math.gcd(*weights.values()) if len(weights) >= size["sources"] else 1
+        named = {f"={k}": v // shared for k, v in weights.items()}
+        if sum(named.values()) + max(0, size["sources"] - len(named)) > max_slots:
+            raise ValueError(f"weights sum to more than {max_slots}")
+    bits = max(1, (size["rows"] // range_rows).bit_length())
+    rows = rows.withColumn("range", F.expr(f"cast(shiftrightunsigned(hash, {64 - bits}) as long)"))
+    counts = rows.groupBy("source", "range").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("source", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"))
+    sources = _with_kinds(_sources(totals, named, block_rows, resolution or max(200, 4 * size["sources"]), exponent))
+    kinds = (sources.select(F.expr("transform(kinds, x -> named_struct('kind', x.kind, 'first_period', x.first_period, 'slots', x.slots, 'start', x.start))").alias("kinds")).first() or [[]])[0] or []  # at most 2 * max_sources + 1
+    pattern = _pattern(sources.select(F.explode("kinds").alias("x")).select("x.kind", "x.m", "x.slots").repartition("kind"))
+    if sum(x["slots"] for x in kinds) <= BROADCAST_ENTRIES:
+        pattern = F.broadcast(pattern)
+    facts = sources.select(F.explode("s").alias("x")).select("x.source", "x.i", "x.a")
+    ranked = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("source", "range").orderBy("hash", "id", "sum")) - 1).cast("long"))
+    placed = ranked.join(offsets, ["source", "range"]).withColumn("rank", F.col("rank") + F.col("offset")).join(F.broadcast(facts), "source")  # at most max_sources rows
+    placed = placed.select("row", "i", "a", F.expr(f"rank div {block_rows}").alias("block"), F.expr(f"cast(rank % {block_rows} as int)").alias("in_block"))
     placed = placed.withColumn("period", F.expr("block div a")).withColumn("k", F.expr("cast(block % a as int)"))
-    placed = placed.withColumn("kind_row", F.expr("element_at(filter(kinds, x -> x.first_period <= period), -1)"))
-    placed = placed.select("row", "i", "a", "block", "in_block", "k", F.col("kind_row.kind").alias("kind"), (F.col("kind_row.start") + (F.col("period") - F.col("kind_row.first_period")) * F.col("kind_row.slots")).alias("base"))
+    if kinds:
+        listed = ", ".join(f"named_struct('kind', {x['kind']}, 'first_period', {x['first_period']}L, 'slots', {x['slots']}, 'start', {x['start']}L)" for x in kinds)
+        placed = placed.withColumn("nth", _kind_of("period", [x["first_period"] for x in kinds])).withColumn("kind_row", F.expr(f"element_at(array({listed}), nth)"))
+        base = F.col("kind_row.start") + (F.col("period") - F.col("kind_row.first_period")) * F.col("kind_row.slots")
+        placed = placed.select("row", "i", "a", "block", "in_block", "k", F.col("kind_row.kind").alias("kind"), base.alias("base"))
+    else:
+        placed = placed.select("row", "i", "a", "block", "in_block", "k", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("base"))
     done = placed.join(pattern, ["kind", "i", "k"])
     slot = F.col("base") + F.col("at")
     return done.select(
@@ -102,7 +143,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> DataFrame:
     """The rows of ``docs`` with their own columns, sorted into the mixture."""
-    return mix(docs, weights, **options).orderBy("mixed_order").select(*docs.columns)
+    return mix(docs, weights, **options).orderBy("mixed_order").select(*quoted(docs.columns))
 
 
 def op7_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pytest
+
 from papyra.llm.mixing import in_mixed_order, mix
 
 SCHEMA = "doc_id long, text string, source string, slot string, n int"
@@ -41,7 +43,7 @@ def test_every_source_is_within_one_block(spark):
     sizes = {"a": 640, "b": 333, "c": 57, None: 41, "d": 3}
     weights = {"a": 7, "b": 5, "c": 2, "d": 3}
     rows = rows_of(sizes)
-    got = mix(spark.createDataFrame(rows, SCHEMA).repartition(5), weights, block_rows=4, buckets=3).collect()
+    got = mix(spark.createDataFrame(rows, SCHEMA).repartition(5), weights, block_rows=4, range_rows=30).collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[2]) for r in rows)
     slots = checked(got, sizes, 4)
     blocks = {s: -(-n // 4) for s, n in sizes.items()}
@@ -72,5 +74,33 @@ def test_default_weights_order_and_repeats(spark):
     assert [r.doc_id for r in ordered.collect()] == want
 
 
+def test_equal_and_null_ids_have_one_order(spark):
+    rows = [(k // 2, f"text {k}", "x" if k % 3 else None, "clash", k) for k in range(200)] + [(None, f"none {k}", "x", "clash", 300 + k) for k in range(100)] + [(7, "t", "x", "clash", 900 + k) for k in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    a = {(r.mixed_order, r.n) for r in mix(docs.repartition(1), block_rows=4).collect()}
+    b = {(r.mixed_order, r.n) for r in mix(docs.repartition(13, "n"), block_rows=4, range_rows=10).collect()}
+    assert a == b and len({o for o, _ in a}) == len(rows)
+
+
+def test_names_with_dots_and_refused_weights(spark):
+    docs = spark.createDataFrame([(k, "t", "x", "é" * 10, k) for k in range(20)], "doc_id long, text string, source string, `a.b` string, `_bucket` int")
+    assert in_mixed_order(docs).columns == docs.columns and in_mixed_order(docs).count() == 20
+    assert {r.weight for r in mix(docs, {"x": 1_000_000}).collect()} == {1}  # by the greatest common divisor
+    for bad in ({"x": 0}, {"x": 65_537, "y": 1}):
+        with pytest.raises(ValueError):
+            mix(docs, bad)
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(k, "word " * 1_000_000 if k == 3 else "t", "x", "c", k) for k in range(10)], SCHEMA)
+    assert sorted(r.mixed_order for r in mix(docs).collect()) == list(range(10))
+
+
+def test_many_small_sources_keep_their_share(spark):
+    rows = [(k, "t", "hot", "c", k) for k in range(3000)] + [(10_000 + k, "t", f"s{k % 60}", "c", k) for k in range(3000)]
+    weight = {r.source: r.weight for r in mix(spark.createDataFrame(rows, SCHEMA), block_rows=1).select("source", "weight").distinct().collect()}
+    assert abs(weight["hot"] / weight["s1"] - (3000 / 50) ** 0.5) < 1.5
+
+
 def test_empty_table(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
