@@ -1,7 +1,10 @@
 import random
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from papyra.llm.sharding import ring, shard_documents, walk
 
 SCHEMA = "doc_id long, text string, shard string, slot int, other int"
@@ -29,6 +32,47 @@ def test_same_result_for_any_partitioning(spark):
     assert a == b
 
 
+def test_against_a_ring_walked_row_by_row(spark):
+    """Keys at home first, in the order of their hashes; each key of a full shard goes on to the next node whose shard has room."""
+    docs = spark.createDataFrame([(i * 7, str(i), "x", 0, 0) for i in range(700)], SCHEMA)
+    hashes = {r.doc_id: r.h % (1 << 64) for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    shards, bits = 5, 6
+    nodes, owners = ring(shards, 3, bits)
+    free = [700 // shards + (s < 700 % shards) for s in range(shards)]
+    want, late = {}, []
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for doc in sorted(hashes, key=lambda d: (hashes[d] >> (64 - bits), signed(hashes[d]))):
+        at = bisect_left(nodes, hashes[doc] >> (64 - bits)) % len(nodes)
+        if free[owners[at]]:
+            free[owners[at]] -= 1
+            want[doc] = owners[at]
+        else:
+            late.append((doc, at))
+    for doc, at in late:
+        while not free[owners[at]]:
+            at = (at + 1) % len(nodes)
+        free[owners[at]] -= 1
+        want[doc] = owners[at]
+    got = shard_documents(docs, shards, 3, bits).collect()
+    assert {r.doc_id: r.shard for r in got} == want
+
+
+def test_hot_ids_and_names_with_dots(spark):
+    rows = [(5, f"text {k}", "x", 0, k) for k in range(300)] + [(None, f"text {k}", "x", 0, k) for k in range(300)] + [(k, None, "x", 0, k) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("other", "`o.ther`"))
+    found = [shard_documents(docs.repartition(n), cell_rows=m).collect() for n, m in ((1, 10**6), (7, 40), (3, 40))]
+    for got in found:
+        assert got[0].__fields__[:3] == ["doc_id", "text", "o.ther"] and len(got) == 900
+        counts = Counter(r.shard for r in got)
+        assert max(counts.values()) - min(counts.values()) <= 1 and len({(r.shard, r.slot) for r in got}) == 900
+    assert sorted(map(repr, found[1])) == sorted(map(repr, found[2]))
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "é" * 3_000_000, "x", 0, 0), (2, "", "x", 0, 0)], SCHEMA)
+    assert sorted(r["size"] for r in shard_documents(docs).select("size").collect()) == [1, 6_000_001]
+
+
 def test_few_rows_and_none(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     got = shard_documents(spark.createDataFrame([(1, None, "x", 0, 0), (2, "b", "x", 0, 0)], SCHEMA)).collect()
