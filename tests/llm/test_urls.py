@@ -28,6 +28,15 @@ def test_captures_by_the_list_of_their_day(spark):
     assert got[10].category == "a" and got[10].n_matches == 2 and got[9].n_matches == 3 and got[2].host == "www.bad.org"
 
 
+def test_addresses_suffixes_and_odd_names(spark):
+    entries = spark.createDataFrame([(p, "x", D(1), "add") for p in ("2.3", "1.2.3", "co.uk", "bad.co.uk", "10.0.0.9")], ENTRIES)
+    urls = ["http://10.1.2.3/", "http://10.0.0.9:80/", "http://shop.co.uk", "http://www.bad.co.uk/a", "http://x.2.3.example"]
+    rows = spark.createDataFrame([(k, u, D(2), "c", 1, "v") for k, u in enumerate(urls)], CAPTURES.replace("n_matches int", "`_url` int, `a.b` string"))
+    got = sorted(judge(rows, entries).collect(), key=lambda r: r.page_id)
+    assert [r.rule for r in got] == [None, "10.0.0.9", None, "bad.co.uk", None]
+    assert got[0]["a.b"] == "v" and got[0]["_url"] == 1
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], CAPTURES), spark.createDataFrame([(1, "http://a.b", D(1), "x", 0)], CAPTURES)
     entries = spark.createDataFrame([], ENTRIES)
