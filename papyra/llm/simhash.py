@@ -12,7 +12,10 @@ indexed under 64 keys: one segment with one bit of it wiped.  Fingerprints that
 
 Defined cases: a null, empty or blank text has the fingerprint zero and is linked like any other; a null doc_id keeps its
 row and its fingerprint, and the class id is the smallest doc_id that is not null (null if there is none); repeated
-rows are kept as they are; an empty table gives an empty result; other columns are ignored.
+rows are kept as they are by ``near_duplicates``; ``keep_first`` keeps one row of every class, of rows with the same
+smallest doc_id the one whose text has the least hash, and of rows that repeat even that one of them; a very long text is
+hashed whole, in memory of some tens of bytes a word; an empty table gives an empty result; other columns are ignored and
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm.rows import checksum, columns
 from papyra.operators.components import connected_components
 from papyra.workspace import Workspace
 
@@ -55,15 +59,20 @@ def fingerprint(text: bytes | None, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every row; fp is the fingerprint's bits in a signed long."""
+    """``(doc_id, ver, fp)`` of every row; ver is a hash of the text, fp the fingerprint's bits in a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "ver", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(), text.alias("text")).mapInArrow(run, "doc_id long, ver long, fp long")
+
+
+def _version() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("ver")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -171,25 +180,39 @@ def links(fps: DataFrame, work: Workspace, bucket_rows: int = 4096) -> DataFrame
     return edges.distinct()
 
 
+def _firsts(prints: DataFrame, first: Column, work: Workspace, bucket_rows: int) -> DataFrame:
+    """``(fp, first)``: the minimum ``first`` over the class of each fingerprint."""
+    distinct = work.table(prints.groupBy("fp").agg(first.alias("first")), "distinct")
+    classes = connected_components(links(distinct.select("fp"), work, bucket_rows), work)
+    members = work.table(distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "members")
+    lowest = members.groupBy("component").agg(F.min("first").alias("first"))
+    return work.table(members.drop("first").join(lowest, "component").select("fp", "first"), "classes")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``."""
-    spark: SparkSession = docs.sparkSession
-    work = Workspace(spark, "simhash")
+    work = Workspace(docs.sparkSession, "simhash")
     prints = work.table(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = work.table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    classes = connected_components(links(distinct.select("fp"), work, bucket_rows), work)
-    lowest = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    lowest = work.table(lowest, "members")
-    ids = lowest.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = work.table(lowest.join(ids, "component").select("fp", "component_id"), "classes")
+    named = _firsts(prints, F.min("doc_id"), work, bucket_rows).withColumnRenamed("first", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class; rows without doc_id stay."""
-    found = near_duplicates(docs, shingle_words)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def keep_first(docs: DataFrame, shingle_words: int = 3, bucket_rows: int = 4096) -> DataFrame:
+    """One row of ``docs`` for each class, the one with the smallest doc_id."""
+    work = Workspace(docs.sparkSession, "simhash")
+    prints = work.table(fingerprints(docs, shingle_words), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ver"))  # a doc_id before none
+    named = prints.join(_firsts(prints, least, work, bucket_rows), "fp")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("ver") == F.col("first.ver"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
+    gone = work.table(named.where(~chosen).select(doc, "ver").distinct(), "gone")
+    twice = work.table(named.where(chosen).groupBy(doc, "ver").agg(F.count("*").alias("n")).where("n > 1").select("doc", "ver"), "twice")
+    rows = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc"), _version(), checksum(docs).alias("sum"))
+    kept = rows.join(gone, ["doc", "ver"], "left_anti")
+    if twice.limit(1).count():
+        once = kept.join(twice, ["doc", "ver"]).groupBy("doc", "ver").agg(F.min_by("row", "sum").alias("row"))
+        kept = kept.join(twice, ["doc", "ver"], "left_anti").select("row").union(once.select("row"))
+    return kept.select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

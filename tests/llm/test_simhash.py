@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from papyra.llm.simhash import links, near_duplicates
+from papyra.llm.simhash import keep_first, links, near_duplicates
 from papyra.workspace import Workspace
 
 SCHEMA = "doc_id long, text string, fp string, component_id int"
@@ -90,5 +90,26 @@ def test_blocks_lose_no_class(spark):
         assert len({top(p) for p in prints}) == len(set(want.values()))
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(400)}" for _ in range(300)) for _ in range(6)]
+    near = text[0].replace(text[0].split()[7], "edit", 1)
+    rows = [(4, text[0], "x", 1), (3, near, "x", 2), (None, text[0], "x", 3), (5, text[1], "x", 4), (5, text[1], "x", 5), (5, text[2], "x", 6), (None, text[3], "x", 7), (None, text[3], "x", 8), (None, text[4], "x", 9), (6, text[5], "x", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, `component.id` int")
+    linked = (brute_print(near) ^ brute_print(text[0])).bit_count() <= 3
+    for parts in (1, 5):
+        kept = keep_first(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        got = sorted((r.doc_id or -1, r.text) for r in kept.collect())
+        want = [(-1, text[3]), (-1, text[4]), (3, near), (5, text[1]), (5, text[2]), (6, text[5])] + ([] if linked else [(4, text[0])])
+        assert got == sorted(want)
+
+
+def test_a_very_long_text(spark):
+    long = "word other " * 100_000
+    got = near_duplicates(spark.createDataFrame([(1, long, "x", 1), (2, long + "end", "x", 1)], SCHEMA)).collect()
+    assert {r.fingerprint for r in got if r.doc_id == 1} == {f"{brute_print(long):016x}"} and len(got) == 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
