@@ -49,10 +49,43 @@ def test_against_brute_force(spark):
 
 
 def test_bands_and_repeats(spark):
-    assert band_probability(0.8) > 0.9999 and band_probability(1.0) == 1
+    assert band_probability(0.6) > 0.9999 and band_probability(0.25) > 0.99 and band_probability(1.0) == 1
     text = " filler words here ".join([TEMPLATES["GPL-3.0/notice"]] * 3)
     assert len([r for r in scan(spark.createDataFrame([(1, text, "c", 1)], SCHEMA)).collect() if r.template == "GPL-3.0/notice"]) == 3
 
 
+def test_recall_of_edited_and_interspersed_copies(spark):
+    """Copies near the threshold: words changed, cut or put in between, down to a containment of about 0.8."""
+    rng = random.Random(31)
+    filler = [f"w{k}" for k in range(300)]
+    rows, want = [], set()
+    whole = [n for n in TEMPLATES if len(TEMPLATES[n].split()) > 60]
+    for i in range(300):
+        name = whole[i % len(whole)]
+        t = TEMPLATES[name].split()
+        n = len(t)
+        if i % 3 == 0:
+            for _ in range(n // 28):
+                t[rng.randrange(n)] = rng.choice(filler)
+        elif i % 3 == 1:
+            cut = rng.randrange(n // 6)
+            t = t[cut : n - rng.randrange(n // 6 - cut + 1)]
+        else:
+            for _ in range(n // 30):
+                at = rng.randrange(len(t))
+                t[at:at] = [rng.choice(filler) for _ in range(rng.randrange(1, 12))]
+        text = [rng.choice(filler) for _ in range(rng.randrange(200))] + t + [rng.choice(filler) for _ in range(rng.randrange(200))]
+        rows.append((i, " ".join(text)))
+        want |= {(i, m) for m in brute(rows[-1][1]) if m in whole}
+    got = {(r.doc_id, r.template) for r in scan(spark.createDataFrame([(i, t, "c", 1) for i, t in rows], SCHEMA)).collect() if r.template in whole}
+    assert got <= want and len(got & want) / len(want) >= 0.99 and len(want) > 150
+
+
+def test_a_very_long_text(spark):
+    text = "filler words without end " * 200_000 + TEMPLATES["ISC/text"]
+    got = scan(spark.createDataFrame([(1, text, "c", 1)], SCHEMA)).collect()
+    assert {r.template for r in got} == {"ISC/text", "ISC/grant"} and min(r.start_word for r in got) == 800_000
+
+
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
