@@ -1,20 +1,26 @@
 """Language identification by nearest centroid.
 
-A text becomes a vector of hashed n-grams (2 to 4 UTF-8 bytes, letters lower-cased, everything else one blank), weighted
-(1 + ln tf) * idf and scaled to length one.  Every language has up to ``clusters`` centroids; the language of the
-nearest one by cosine is the prediction and the cosine its score.  A text that is farther from that centroid than the
-farthest of the centroid's own members, with ``slack`` to spare, is rejected.  A short text cannot come near any centroid,
-so the least cosine shrinks with the root of the number of its distinct n-grams below ``full_grams``.
+A text becomes a vector of hashed n-grams (2 to 4 UTF-8 bytes, ASCII and Latin-1 letters lower-cased, everything else one
+blank), weighted (1 + ln tf) * idf and scaled to length one.  Every language has up to ``clusters`` centroids; the language
+of the nearest one by cosine is the prediction and the cosine its score.
+
+A text that is too far from that centroid is rejected.  A short text cannot come near any centroid, so closeness is the
+cosine over the root of the number of distinct n-grams below ``full_grams``.  Rows that the centroids have not seen are held
+back for each language; the least closeness that is accepted is ``slack`` times the ``quantile`` of theirs.  So a text is
+rejected that is far beyond nearly all unseen texts of its language: another language, another script, program code; a
+strange or repetitive text in a known language stays.
 
 The document frequencies come from all labelled rows.  The centroids are fitted on a bounded sample: the
 ``sample_rows`` labelled rows of each language with the least hashes of their doc_id, clustered in one small group per
-language.  So the model has at most languages * clusters * ``buckets`` numbers, whatever the corpus, and goes to the
-tasks as such.  Prediction is a map over whole texts: no shuffle.
+language, and as many again are held back.  A count per language gives a bound on the hash that few rows pass, so no task
+ranks a language.  The model has at most ``max_languages`` * clusters * ``buckets`` numbers, whatever the corpus, and goes
+to the tasks as such.  Prediction is a map over whole texts: no shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; rows with a null doc_id are
 never learned from and not held out; rows with a null lang are predicted only; repeated rows count as often as they
-are there; without any labelled row everything is ``und``; ties go to the language first by name; other columns are
-ignored by ``identify``, and an empty table gives an empty result.
+are there; without any labelled row everything is ``und``; more than ``max_languages`` labels are refused; ties go to the
+language first by name; a very long text is counted whole, some millions of bytes at a time; other columns are ignored by
+``identify`` and kept by ``accepted``, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +31,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.words import _offsets, binary
+from papyra.operators.samples import SPACE
 
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
 SAMPLE_ROWS = 300
 CLUSTERS = 4
-SLACK = 0.5
+QUANTILE, SLACK = 0.01, 0.65
+MAX_LANGUAGES = 512
 FULL_GRAMS = 200
+#: Bytes of folded text whose n-grams are counted at once.
+CHUNK = 4_000_000
 UNKNOWN = "und"
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -48,7 +58,7 @@ class Model:
     languages: list[str]
     of: np.ndarray  # language of each centroid
     centroids: np.ndarray  # (centroids, buckets)
-    floors: np.ndarray  # least cosine that is not rejected, of each centroid
+    floors: np.ndarray  # least closeness that is accepted, of each centroid
     idf: np.ndarray
 
 
@@ -66,7 +76,7 @@ def _counts(column: pa.Array, lo: int, hi: int, buckets: int) -> np.ndarray:
     offsets = _offsets(column)[lo : hi + 1]
     buffer = column.buffers()[2]
     raw = np.frombuffer(buffer, dtype=np.uint8)[offsets[0] : offsets[-1]] if buffer is not None else np.zeros(0, np.uint8)
-    row = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(offsets))
+    row = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(offsets))
     data = _FOLD[raw]
     if len(raw) > 1:  # capitals of the Latin-1 supplement
         capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -74,17 +84,20 @@ def _counts(column: pa.Array, lo: int, hi: int, buckets: int) -> np.ndarray:
     blank = data == 0x20
     keep = np.ones(len(data), dtype=bool)
     keep[1:] = ~(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
-    data, row = data[keep].astype(np.uint32), row[keep]
+    data, row = data[keep], row[keep]
     out = np.zeros((hi - lo) * buckets, dtype=np.float32)
-    code = data
-    for n in range(2, max(ORDERS) + 1):
-        if len(data) < n:
-            break
-        code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
-        if n in ORDERS:
-            inside = row[: len(row) - n + 1] == row[n - 1 :]
-            slot = ((code + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - buckets.bit_length() + 1)
-            out += np.bincount(row[: len(row) - n + 1][inside] * buckets + slot[inside], minlength=len(out)).astype(np.float32)
+    for at in range(0, len(data), CHUNK):
+        part, rows = data[at : at + CHUNK + max(ORDERS) - 1].astype(np.uint32), row[at : at + CHUNK + max(ORDERS) - 1]
+        code = part
+        for n in range(2, max(ORDERS) + 1):
+            count = min(CHUNK, len(part) - n + 1)  # n-grams that start in this chunk
+            if count < 1:
+                break
+            code = (code[:-1] << np.uint32(8)) | part[n - 1 :]
+            if n in ORDERS:
+                inside = rows[:count] == rows[n - 1 : n - 1 + count]
+                slot = ((code[:count] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - buckets.bit_length() + 1)
+                out += np.bincount(rows[:count][inside].astype(np.int64) * buckets + slot[inside], minlength=len(out)).astype(np.float32)
     return out.reshape(hi - lo, buckets)
 
 
@@ -122,8 +135,8 @@ def document_frequencies(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int
     return np.array([found.get(k, 0) for k in range(buckets)]), found.get(-1, 0)
 
 
-def _cluster(x: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: centroids and the least cosine of each one's members.
+def _cluster(x: np.ndarray, clusters: int) -> np.ndarray:
+    """Centroids by spherical k-means.
 
     It starts from rows at even steps of the likeness to the mean; a cluster of less than a tenth of an even share
     is dropped, so that one odd row is no centroid.
@@ -137,34 +150,44 @@ def _cluster(x: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
         stay = np.flatnonzero(sizes >= max(1, len(x) / (10 * k)))
         sums = np.stack([x[mine == c].sum(axis=0) for c in stay])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cosines = x @ centroids.T
-    mine = np.argmax(cosines, axis=1)
-    floors = np.array([cosines[mine == c, c].min() if (mine == c).any() else 1.0 for c in range(len(centroids))])
-    return centroids, floors
+    return centroids
+
+
+def _closeness(counts: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    return cosines / np.sqrt(np.clip((counts > 0).sum(axis=1) / FULL_GRAMS, 1e-12, 1.0))
 
 
-def fit(docs: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
+def _sample(docs: DataFrame, sample_rows: int, max_languages: int) -> DataFrame:
+    """``(lang, text, id, hash)``: about four times the rows asked for of each language, those with the least hashes."""
+    rows = _learnable(docs).where("text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("id"))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(SPACE)))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    bounds = {lang: max(least, SPACE * 8 * sample_rows // n) for lang, (n, least) in sizes.items()}
+    table = docs.sparkSession.createDataFrame([*bounds.items()] or [("", 0)], "lang string, bound long")
+    return rows.join(F.broadcast(table), "lang").where("hash <= bound").drop("bound")  # a row a language
+
+
+def fit(docs: DataFrame, buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS, slack: float = SLACK, quantile: float = QUANTILE, max_languages: int = MAX_LANGUAGES) -> Model:
     frequencies, n = document_frequencies(docs, buckets)
     idf = np.log((1 + n) / (1 + frequencies)) + 1
-    ranked = _learnable(docs).where("text is not null").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).alias("_hash"))
-    # first within many parts of a language, so that no task meets the candidates of all tasks
-    part = Window.partitionBy("_lang", "_part").orderBy("_hash", "_id")
-    ranked = ranked.withColumn("_part", F.expr("pmod(xxhash64(_id, 'part'), 64)")).withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= sample_rows)
-    order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    sample = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_rows).select("_id", "_lang", "_hash")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample.select("_id", "_lang").distinct()), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", "doc_id")
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"]).head(sample_rows)
+        rows = rows.sort_values(["hash", "id", "text"]).head(2 * sample_rows)
         texts = pa.array([t.encode() for t in rows["text"]], pa.binary())
-        x = np.concatenate([_vectors(_counts(texts, lo, hi, buckets), idf) for lo, hi in _pieces(texts)])
-        x = x[[_has_letter(t.as_py()) for t in texts]]
-        if not len(x):
+        counts = np.concatenate([_counts(texts, lo, hi, buckets) for lo, hi in _pieces(texts)])[[_has_letter(t.as_py()) for t in texts]]
+        if not len(counts):
             return pd.DataFrame({"lang": [], "floor": [], "centroid": []})
-        centroids, floors = _cluster(x, clusters)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": floors * slack, "centroid": [c.tolist() for c in centroids.astype(np.float32)]})
-
-    fitted = sorted(texts.groupBy("lang").applyInPandas(group, "lang string, floor double, centroid array<float>").collect(), key=lambda r: (r["lang"], r["floor"]))
+        x = _vectors(counts, idf)
+        seen = np.arange(len(x)) % 2 == 0
+        centroids = _cluster(x[seen], clusters)
+        back = ~seen if len(x) > 1 else seen
+        floor = np.quantile(_closeness(counts[back], (x[back] @ centroids.T).max(axis=1)), quantile)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "floor": floor * slack, "centroid": [c.tolist() for c in centroids.astype(np.float32)]})
+
+    sample = _sample(docs, sample_rows, max_languages)
+    fitted = sorted(sample.groupBy("lang").applyInPandas(group, "lang string, floor double, centroid array<float>").collect(), key=lambda r: (r["lang"], r["centroid"]))  # bounded
     languages = sorted({r["lang"] for r in fitted})
     of = np.array([languages.index(r["lang"]) for r in fitted], dtype=np.int64)
     centroids = np.array([r["centroid"] for r in fitted], dtype=np.float32).reshape(len(fitted), buckets)
@@ -179,14 +202,14 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
         return names, scores, out
     for lo, hi in _pieces(raw):
         counts = _counts(raw, lo, hi, model.centroids.shape[1])
-        share = np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=1) / FULL_GRAMS))
         cosines = _vectors(counts, model.idf) @ model.centroids.T
         best = np.argmax(cosines, axis=1)
+        near = _closeness(counts, cosines[np.arange(hi - lo), best])
         for k in range(lo, hi):
             if _has_letter(raw[k].as_py()):
                 names[k] = model.languages[model.of[best[k - lo]]]
                 scores[k] = min(1.0, max(0.0, float(cosines[k - lo, best[k - lo]])))
-                out[k] = scores[k] < share[k - lo] * model.floors[best[k - lo]]
+                out[k] = near[k - lo] < model.floors[best[k - lo]]
     return names, scores, out
 
 
@@ -205,14 +228,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their own columns."""
     names = docs.columns
-    at = names.index("text")
+    at, plain = names.index("text"), docs.toDF(*[f"c{k}" for k in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = predict(batch.column(at), model)[2]
             yield batch.filter(pa.array(~out))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,12 @@
 import random
+import re
 import zlib
 
-from papyra.llm.language import UNKNOWN, accepted, fit, identify
+import numpy as np
+import pyarrow as pa
+
+from papyra.llm import language
+from papyra.llm.language import BUCKETS, UNKNOWN, accepted, fit, identify
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 WORDS = {"en": ["the", "house", "thing", "with", "and", "where"], "de": ["schön", "nicht", "auch", "über", "für", "zwischen"], "fr": ["être", "où", "français", "beaucoup", "avec", "pour"]}
@@ -40,6 +45,46 @@ def test_accepted_keeps_columns(spark):
     assert kept.columns == docs.columns and kept.count() == 240
 
 
+def test_other_languages_are_rejected_and_clean_rows_are_not(spark):
+    """Vectors, centroids, nearest one and floor by plain numpy over whole vocabularies agree with the job; foreign texts go."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    foreign = ["Жизнь прожить не поле перейти, говорили старые люди. " * 5, "W Szczebrzeszynie chrząszcz brzmi w trzcinie. " * 5, "人人生而自由在尊嚴和權利上一律平等" * 9, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina. " * 5, "def main(argv): return os.path.join(x[0], y)\n" * 9]
+    asked = spark.createDataFrame([(k, t, None, "c") for k, t in enumerate(foreign)], SCHEMA)
+    model = fit(docs, sample_rows=60)
+    assert all(r.rejected for r in identify(asked, model).collect())
+    got = identify(docs, model).collect()
+    assert not any(r.rejected for r in got)
+    texts = pa.array([r[1].encode() for r in corpus()], pa.binary())
+    counts = np.stack([brute_counts(t.as_py().decode()) for t in texts])
+    x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * model.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = x @ model.centroids.T
+    by_id = {r.doc_id: r for r in got}
+    for (i, *_), row in zip(corpus(), cosines, strict=True):
+        assert by_id[i].lang_pred == model.languages[model.of[row.argmax()]] and abs(by_id[i].score - row.max()) < 1e-4
+
+
+def brute_counts(text):
+    plain = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text)).encode()
+    out = np.zeros(BUCKETS)
+    for n in (2, 3, 4):
+        for i in range(len(plain) - n + 1):
+            code = int.from_bytes(plain[i : i + n], "big") + n
+            out[(code * 0x9E3779B1 % 2**32) >> (32 - BUCKETS.bit_length() + 1)] += 1
+    return out
+
+
+def test_a_long_text_in_chunks_and_odd_names(spark, monkeypatch):
+    text = ("schön nicht über " * 3000).encode()
+    column = pa.array([text, b"", text[:100]], pa.binary())
+    whole = language._counts(column, 0, 3, BUCKETS)
+    monkeypatch.setattr(language, "CHUNK", 1000)
+    assert (language._counts(column, 0, 3, BUCKETS) == whole).all()
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(corpus())], SCHEMA + ", `a.b` int")
+    kept = accepted(docs, fit(docs))
+    assert kept.columns == docs.columns and kept.count() == 240
+
+
 def test_nothing_to_learn_from_and_empty(spark):
     docs = spark.createDataFrame([(1, "the house", None, "c")], SCHEMA)
     assert [r.lang_pred for r in identify(docs, fit(docs)).collect()] == [UNKNOWN]
