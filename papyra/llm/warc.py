@@ -5,10 +5,12 @@ record, so a reader can start at any record and a damaged one does not spoil the
 
 * ``write_archives`` runs in the tasks that hold the rows.  Each task writes files of about ``roll_bytes`` under the
   shared folder and returns their names; only the names that Spark commits count, so files of lost or repeated
-  tasks are never read.  Equal payloads of at least ``revisit_bytes`` are found by their digests, without moving payloads:
-  the record with the smallest page_id is a response, the others revisit it.
-* ``read_archives`` lists the archives with Spark's binary reader and decodes frame by frame, checking the frame's
-  content size and checksum, the version line, the required headers, both lengths and, for responses, the digest.
+  tasks are never read.  Equal payloads of at least ``revisit_bytes`` are found by their digests alone: the record with the
+  smallest page_id is a response, the others revisit it.  The revisits are a written table, so Spark broadcasts it while it
+  is small; beyond that the payloads move once, to meet it.
+* ``read_archives`` decodes frame by frame, checking the frame's content size and checksum, the version line, the required
+  headers, both lengths and, for responses, the digest.  Of a folder it lists the archives with Spark's binary reader; with
+  a manifest each task opens the archives that its rows name, so no content is moved.
 
 The dictionary is trained on at most ``sample_pages`` payloads (those with the least hashes of their page_id, 64 KiB of
 each); with too few samples to train on, archives have none.
@@ -72,12 +74,13 @@ def train_dictionary(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> byte
         return b""
 
 
-def with_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def with_revisits(pages: DataFrame, work: Workspace, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``(page_id, url, payload, digest, refers_to)`` of ``pages(page_id, url, payload)``."""
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     light = pages.where(F.length("payload") >= revisit_bytes).select("page_id", "digest")
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     later = light.join(firsts, "digest").where("page_id is null or page_id <> first_id").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first_id").alias("refers_to")).distinct()
+    later = work.table(later, "revisits")
     same = (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page"))
     return pages.join(later, same, "left").select("page_id", "url", "payload", "digest", "refers_to")
 
@@ -190,39 +193,57 @@ def archive_records(content: bytes, piece: int = 65_536) -> Iterator[tuple[int,
         yield start, record, error
 
 
+_KINDS = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+
+
+def _records(archive: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """The records of one archive, some megabytes at a time."""
+    rows, held = [], 0
+    for offset, record, error in archive_records(content):
+        row = dict.fromkeys(_KINDS.names) | {"archive": archive, "offset": offset, "error": error}
+        if record is not None:
+            try:
+                row |= parse_record(record)
+            except (ValueError, UnicodeDecodeError) as e:
+                row["error"] = str(e)
+        rows.append(row)
+        held += len(record or b"")
+        if held > 8_000_000:
+            yield pa.RecordBatch.from_pylist(rows, schema=_KINDS)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_KINDS)
+
+
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """Records of the archives in ``folder``; with a manifest, of those it names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content")
-    if manifest is not None:
-        files = files.join(manifest.select("archive"), "archive", "left_semi")
-    kinds = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows, held = [], 0
-                for offset, record, error in archive_records(batch.column(1)[k].as_py()):
-                    row = dict.fromkeys(kinds.names) | {"archive": batch.column(0)[k].as_py(), "offset": offset, "error": error}
-                    if record is not None:
-                        try:
-                            row |= parse_record(record)
-                        except (ValueError, UnicodeDecodeError) as e:
-                            row["error"] = str(e)
-                    rows.append(row)
-                    held += len(record or b"")
-                    if held > 8_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-
-    return files.mapInArrow(run, RECORD)
+            for archive, content in zip(batch.column(0), batch.column(1), strict=True):
+                yield from _records(archive.as_py(), content.as_py())
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{archive}", compression=None) as stream:
+                    content = stream.read()
+                yield from _records(archive, content)
+
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+        return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "content").mapInArrow(read, RECORD)
+    tasks = max(1, min(4096, manifest.count()))  # a few archives a task
+    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(opened, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, work: Workspace, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes ``pages(page_id, url, html)`` and reads the archives back."""
     payloads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    manifest = write_archives(with_revisits(payloads), work, train_dictionary(payloads), roll_bytes=roll_bytes)
+    manifest = write_archives(with_revisits(payloads, work), work, train_dictionary(payloads), roll_bytes=roll_bytes)
     if manifest.limit(1).count() == 0:
         return pages.sparkSession.createDataFrame([], RECORD)
     return read_archives(pages.sparkSession, work.path("archives"), manifest)
