@@ -67,5 +67,15 @@ def test_other_window_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in twice) == [(4, 0), (5, 30), (5, 30)]
 
 
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    words = [f"v{rng.randrange(500)}" for _ in range(400_000)]
+    words[300_000:300_050] = words[1000:1050]
+    docs = [(2, " ".join(words)), (1, " ".join(words[5000:5030]))]
+    want = brute(docs, 20)
+    for r in remove_repeats(spark.createDataFrame([(i, t, "c", 0) for i, t in docs], SCHEMA)).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id][:3] and (r.doc_id == 1 or r.n_removed == 80)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
