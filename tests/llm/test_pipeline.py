@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from papyra.workspace import Workspace
 from tests.llm.test_simhash import brute_classes, brute_print
 
 WORDS = {"en": [f"the{c}" for c in "abcdefghijklmnop"], "de": [f"über{c}" for c in "abcdefghijklmnop"]}
@@ -28,7 +29,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, p in prints.items():
         if i is not None:
             first[top[p]] = min(first.get(top[p], i), i)
-    kept = [r for r in kept if r[0] is None or first[top[prints[r[0]]]] == r[0]]
+    kept = [r for r in kept if first.get(top[prints[r[0]]]) == r[0]]
     kept = [r for r in kept if not any(t in r[1] for _, t in items)]
     assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got) == Counter(kept)
     counts = Counter(r.shard for r in got)
@@ -39,7 +40,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_slots_follow_the_mixture(spark):
     rows = [(i % 990, f"text {i}", "hot" if i % 3 else f"s{i % 7}") for i in range(1000)] + [(None, "no id", "hot")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    mixed = corpus_pipeline.mix_sources(spark, docs, "").localCheckpoint()
+    mixed = Workspace(spark, "t").table(corpus_pipeline.mix_sources(spark, docs, ""), "mixed")
     order = {r.mixed_order: (r.doc_id, r.text) for r in mixed.collect()}
     place = {}
     for at in sorted(order):
@@ -55,6 +56,20 @@ def test_slots_follow_the_mixture(spark):
     assert {(r.doc_id, r.text, r.shard, r.slot) for r in got} != {(r.doc_id, r.text, r.shard, r.slot) for r in without}
 
 
+def test_further_columns_and_the_mixture_reach_the_result(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = [f"the{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en", "hot" if i % 3 else f"s{i % 5}", 1, i * 3) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `my.own` int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {(r.doc_id, r["my.own"]) for r in got} == {(r[0], r[5]) for r in rows}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "source_mixing"])
+    without = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {(r.doc_id, r.shard) for r in got} == {(r.doc_id, r.shard) for r in without}
+    assert {(r.doc_id, r.slot) for r in got} != {(r.doc_id, r.slot) for r in without}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
