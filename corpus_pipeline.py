@@ -1,15 +1,21 @@
 """A corpus from raw documents to training shards: language, near-duplicates, benchmark, mixture, shards.
 
 Each stage reads all that the stage before it kept, as Parquet in the shared folder.  They return the columns
-of ``documents``; the mixture adds ``mixed_order``, by which the last stage numbers the slots of each shard.
+of ``documents``, whatever further ones it has; the mixture adds ``mixed_order``, by which the last stage numbers the slots
+of each shard.
+
+Defined cases: documents without text or letters go at the first stage; rows with a null doc_id are documents like any
+other; repeated rows and copies are one class, of which the second stage keeps one row; rows that share a doc_id but not
+the text are judged by their text; a null source is a source of its own; very long texts go through every stage whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from papyra.llm import decontamination, language, mixing, sharding, simhash
+from papyra.llm.rows import columns
 from papyra.workspace import Workspace
 
 SHARDS = 16
@@ -32,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mixture, ``mixed_order``."""
-    return mixing.mix(docs).select(*docs.columns, "mixed_order")
+    return mixing.mix(docs).select(*columns(docs.columns), "mixed_order")
 
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = columns([c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")])
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work.table(docs, f"{k}_{name}")
             if k:
                 work.drop(f"{k - 1}_{STAGES[k - 1][0]}")
-    return docs.select("doc_id", "lang", "source", "n_chars", F.col("text"), "size", "text_crc32", "shard", "slot")
+    return docs.select(*own, "size", "text_crc32", "shard", "slot")
