@@ -6,11 +6,12 @@ corpus is made for a date.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
-from papyra.operators.ranking import B, K1, bm25_idf, top_k
+from papyra.operators.ranking import B, K1, bm25_idf, bm25_part, counted_terms, top_k
+from papyra.workspace import Workspace
 
 
 def running(changes: DataFrame, by: list[str], day: str, *sums: str) -> DataFrame:
@@ -47,14 +48,16 @@ def temporal_bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b
 
     ``docs(doc_id, text, publication_date, is_retracted)``, ``queries(query_id, text, query_date)``.
     """
+    work = Workspace(docs.sparkSession, "temporal")
     listed = eligible(docs).select("doc_id", "publication_date", tokens(F.col("text")).alias("terms"))
-    lengths = listed.select("doc_id", "publication_date", F.size("terms").alias("dl"))
-    postings = listed.select("doc_id", "publication_date", F.explode("terms").alias("term")).groupBy("term", "doc_id", "publication_date").agg(F.count("*").alias("tf"))
+    table = work.table(counted_terms(listed, "doc_id", "publication_date"), "postings")
+    lengths = table.where("term is null").select("doc_id", "publication_date", "dl")
     wanted = queries.select("query_id", "query_date", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    df = fold_df(postings, wanted.select("term", "query_date"))
-    hits = wanted.join(df, ["term", "query_date"]).join(postings, "term").where("publication_date <= query_date").join(lengths.select("doc_id", "dl"), "doc_id").join(F.broadcast(fold_sizes(lengths, queries)), "query_date")
-    part: Column = bm25_idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    df = fold_df(table.where("term is not null"), wanted.select("term", "query_date"))
+    idf = df.join(fold_sizes(lengths, queries), "query_date").select("term", "query_date", bm25_idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+    asked = work.table(wanted.join(idf, ["term", "query_date"]), "asked")  # of known size, so Spark can broadcast it if it is small
+    hits = table.join(asked, "term").where("publication_date <= query_date")
+    return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(bm25_part(k1, b)), 6).alias("score")), k)
 
 
 def leaks(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

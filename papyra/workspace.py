@@ -3,6 +3,9 @@
 An operator that reads one of its own results more than once writes it as Parquet under the folder that the cluster
 names in ``spark.checkpoint.dir`` and reads it back.  All executors share that folder, so the loss of an executor costs
 the tasks that ran on it and nothing else.
+
+A result that is a DataFrame still reads its tables when it is used, so they stay until the caller is done: ``clear``
+deletes all tables of this application.  Call it when the results have been written or collected.
 """
 
 from __future__ import annotations
@@ -48,9 +51,20 @@ class Workspace:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def fresh(self, df: DataFrame, label: str) -> DataFrame:
+        """A table under a name of its own, for what an operator makes once for each call."""
+        return self.table(df, f"{label}-{uuid.uuid4().hex[:12]}")
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(hadoop).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/papyra/{spark.sparkContext.applicationId}")
+    path.getFileSystem(hadoop).delete(path, True)
