@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.operators.records import with_rank
+from papyra.workspace import Workspace
+
 CUTOFFS = (5, 10, 20, 100)
 
 
@@ -99,12 +102,11 @@ def bootstrap(deltas: DataFrame, samples: int = 1000, seed: int = 7) -> DataFram
     Draw i of sample s is the row whose place is the first 7 hex digits of md5("seed:s:i") modulo n, so any engine repeats it.
     """
     spark = deltas.sparkSession
-    order = Window.partitionBy(F.lit(1)).orderBy("query_id")
-    placed = deltas.where("delta is not null").withColumn("place", F.row_number().over(order) - 1)
+    placed = Workspace(spark, "bootstrap").table(with_rank(deltas.where("delta is not null"), "query_id").select("delta", (F.col("rank") - 1).cast("long").alias("place")), "placed")
     n = placed.agg(F.count("*").alias("n"))
-    draws = spark.range(samples).withColumnRenamed("id", "sample").crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.expr("sequence(0, cast(n as int) - 1)")))  # one row
-    draws = draws.withColumn("place", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "sample", "i").cast("binary")), 1, 7), 16, 10).cast("long") % F.col("n")).cast("int"))
-    means = draws.join(F.broadcast(placed.select("place", "delta")), "place").groupBy("sample").agg(F.avg("delta").alias("mean"))
+    draws = spark.range(samples).withColumnRenamed("id", "sample").crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.expr("case when n > 0 then sequence(0, cast(n as int) - 1) else array() end")))  # one row
+    draws = draws.withColumn("place", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "sample", "i").cast("binary")), 1, 7), 16, 10).cast("long") % F.col("n")).cast("long"))
+    means = draws.join(placed, "place").groupBy("sample").agg(F.avg("delta").alias("mean"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     low = F.percentile("mean", F.lit(0.025))
     high = F.percentile("mean", F.lit(0.975))
@@ -121,3 +123,14 @@ def adjusted(tests: DataFrame) -> DataFrame:
     down = Window.partitionBy(F.lit(1)).orderBy(F.col("k").desc())
     bh = F.min(F.least(F.lit(1.0), F.col("n") * F.col("p") / F.col("k"))).over(down.rowsBetween(Window.unboundedPreceding, 0))
     return ranked.select("name", "p", F.round(holm, 6).alias("holm"), F.round(bh, 6).alias("bh"))
+
+
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Two-sided p of a sign test by the normal distribution with continuity correction; its tail by a polynomial that is off by less than 1e-7."""
+    n = wins + losses
+    z = F.when(n > 0, F.greatest(F.abs(wins - losses) - 1, F.lit(0)) / F.sqrt(n)).otherwise(F.lit(0.0))
+    t = 1 / (1 + 0.2316419 * z)
+    tail = F.lit(0.0)
+    for c in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.31938153):  # fixed values of the polynomial
+        tail = t * (c + tail)
+    return F.round(F.least(F.lit(1.0), 2 * F.exp(-z * z / 2) / F.sqrt(2 * F.pi()) * tail), 6)

@@ -67,19 +67,21 @@ def round_robin(rows: DataFrame, key: str, stratum: str, n: int, seed: str) -> D
     return ranked.orderBy("round", stratum).limit(n)
 
 
-def with_rank(rows: DataFrame, *order: str) -> DataFrame:
-    """Exact global rank from 1 without one task for all rows: ranges of the first column, counts of each, rank inside."""
-    first = order[0]
-    cuts = rows.groupBy(first).agg(F.count("*").alias("_n"))
-    # distinct values of the leading column are ranked by ranges of their own
-    spread = cuts.repartitionByRange(first).withColumn("_part", F.spark_partition_id())
-    parts = spread.groupBy("_part").agg(F.sum("_n").alias("_rows"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_part").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    starts = spread.withColumn("_inner", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(F.broadcast(parts), "_part").select(first, (F.col("_before") + F.col("_inner")).alias("_start"))
-    within = Window.partitionBy(first).orderBy(*order)
-    return rows.join(starts, first).withColumn("rank", F.col("_start") + F.row_number().over(within)).drop("_start")
+def with_rank(rows: DataFrame, *order: str, range_rows: int = 100_000) -> DataFrame:
+    """Exact global rank from 1 without one task for all rows, nor one for a popular value of the first column.
+
+    Rows are dealt into ranges of the whole order and written once with the number of their range, so that ranges are the same
+    wherever they are read; the rank is the rows before the range and the place in it.
+    """
+    work = Workspace(rows.sparkSession, "ranked")
+    parts = max(1, -(-rows.count() // range_rows))
+    # written once, so the ranges are the same wherever they are used
+    placed = work.table(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*order)
+    return placed.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.row_number().over(within)).drop("_part", "_start")
 
 
 def with_tercile(rows: DataFrame) -> DataFrame:
@@ -119,17 +121,21 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 def similar_sets(rows: DataFrame, least: float) -> DataFrame:
     """``(one, two, jaccard)`` of ``rows(doc_id, w)`` whose word sets have a Jaccard of at least ``least``.
 
-    Equal sets collapse first and are named by their smallest row. Two sets that are this similar share one of their
-    size - ceil(least * size) + 1 rarest words, so only those words are joined on, never the common ones.
+    Equal sets collapse first: each is named by its smallest row, to which its other rows are linked. Two sets that are this similar
+    share one of their size - ceil(least * size) + 1 rarest words, so only those words are joined on, never the common ones; the
+    join carries ids and sizes, and word sets are fetched for pairs of fitting sizes only.
     """
-    sets = rows.select("doc_id", F.array_sort("w").alias("w")).groupBy("w").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    sets = sets.select("w", "ids", F.get("ids", F.lit(0)).alias("doc_id"))
+    named = rows.select("doc_id", F.array_sort("w").alias("w")).withColumn("h", F.xxhash64("w"))
+    firsts = named.groupBy("h", "w").agg(F.min("doc_id").alias("first"))
+    work = Workspace(rows.sparkSession, "sets")
+    sets = work.table(firsts.select(F.col("first").alias("doc_id"), "h", "w"), "sets")
     df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    words = sets.select("doc_id", F.explode("w").alias("word")).join(df, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
-    keys = words.select("doc_id", F.transform("r", lambda x: x["word"]).alias("w"), F.explode(F.expr(f"slice(r, 1, cast(size(r) - ceil({least} * size(r)) + 1 as int))")).alias("k")).select("doc_id", "w", F.col("k.word").alias("key"))
+    words = sets.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    keys = work.table(words.select("doc_id", "n", F.explode(F.expr(f"slice(r, 1, cast(n - ceil({least} * n) + 1 as int))")).alias("k")).select("doc_id", "n", F.col("k.word").alias("key")), "keys")
     a, b = keys.alias("a"), keys.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.w").alias("u"), F.col("b.w").alias("v"))
-    near = near.select("x", "y", F.round(jaccard(F.col("u"), F.col("v")), 6).alias("jaccard")).where(F.col("jaccard") >= least).distinct()
-    # links between different sets by their first rows; of equal sets each row is linked to the first
-    same = sets.select("doc_id", F.explode("ids").alias("y")).where("y <> doc_id").select(F.col("doc_id").alias("one"), F.col("y").alias("two"), F.lit(1.0).alias("jaccard"))
-    return near.select(F.col("x").alias("one"), F.col("y").alias("two"), "jaccard").union(same)
+    fits = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
+    near = near.join(sets.select(F.col("doc_id").alias("x"), F.col("w").alias("u")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("w").alias("v")), "y")
+    near = near.select(F.col("x").alias("one"), F.col("y").alias("two"), F.round(jaccard(F.col("u"), F.col("v")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    same = named.join(sets.select("h", "w", F.col("doc_id").alias("one")), ["h", "w"]).where("doc_id <> one").select("one", F.col("doc_id").alias("two"), F.lit(1.0).alias("jaccard"))
+    return near.union(same)

@@ -1,8 +1,8 @@
 """The telemetry rules as Structured Streaming jobs over an event table that is replayed as a stream.
 
 Every function takes a stream with the columns of ``views.telemetry`` and gives a streaming DataFrame; ``drain`` runs one to
-the end of what there is and returns what it wrote.  State is bounded: keys that are remembered carry the day, and watermarks
-let windows and pairs go.
+the end of what there is and returns what it wrote.  Keys that are remembered carry the day, and watermarks let windows and
+pairs go; ``circuit`` keeps two numbers a user, which go once the watermark is ``idle`` past the user's last event.
 """
 
 from __future__ import annotations
@@ -11,19 +11,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from papyra.operators.ranking import counted_terms
 from papyra.workspace import Workspace
 
 FILES_AT_ONCE = 4
 
 
-def replay(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+def replay(spark: SparkSession, sf_dir: str, name: str = "events", by: Column | None = None) -> DataFrame:
     """The table as a stream of files, whether it is one file or a folder of them.
 
-    More files than one micro-batch takes are first written in ranges of ``ts``, so that no row is late and runs are
+    More files than one micro-batch takes are first written in ranges of ``by`` (``ts``), so that no row is late and runs are
     counted in order; where the file system cannot keep that order, all files are one micro-batch.
     """
     path = f"{sf_dir}/{name}.parquet"
@@ -32,7 +33,7 @@ def replay(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     if files <= FILES_AT_ONCE:
         return spark.readStream.schema(table.schema).parquet(f"{path}*")
     work = Workspace(spark, f"replay-{name}")
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts").cast("timestamp") if by is None else by
     work.table(table.repartitionByRange(files, ts).sortWithinPartitions(ts), "ordered")
     reader = spark.readStream.schema(table.schema)
     if _dated_by_name(spark, work.path("ordered")):
@@ -102,16 +103,73 @@ def attributed(shown: DataFrame, done: DataFrame) -> DataFrame:
     return a.join(b, F.expr("u = user_id and kk = k and ts >= shown_at and ts <= shown_at + interval 24 hours")).select("shown_id", "event_id", "user_id")
 
 
-def circuit(events: DataFrame, least: int = 2) -> DataFrame:
-    """Per user the longest run of failures in a row so far, kept as state; a row per micro-batch in which it is ``least`` or more."""
+def circuit(events: DataFrame, least: int = 2, idle: str = "90 days") -> DataFrame:
+    """Per user the longest run of failures in a row so far, kept as state; a row per micro-batch in which it is ``least`` or more.
+
+    The state of a user without events for ``idle`` is let go, which ends the run.
+    """
+    days = pd.Timedelta(idle)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame({"user_id": [], "longest": []})
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
         run, best = state.get if state.exists else (0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         for failed in rows["kind"] == "provider_failed":
             run = run + 1 if failed else 0
             best = max(best, run)
         state.update((run, best))
-        yield pd.DataFrame({"user_id": [key[0]], "longest": [best]} if best >= least else {"user_id": [], "longest": []})
+        last = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(days.total_seconds() * 1000))
+        yield pd.DataFrame({"user_id": [key[0]], "longest": [best]}) if best >= least else none
+
+    seen = events.select("user_id", "ts", "event_id", "kind").withWatermark("ts", "2 days")
+    return seen.groupBy("user_id").applyInPandasWithState(step, "user_id long, longest int", "run int, best int", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return events.select("user_id", "ts", "event_id", "kind").groupBy("user_id").applyInPandasWithState(step, "user_id long, longest int", "run int, best int", "append", GroupStateTimeout.NoTimeout)
+def late_counts(events: DataFrame, lag: str = "12 hours") -> DataFrame:
+    """Per user and micro-batch the events that came in time and those more than ``lag`` behind the latest that came before them.
+
+    ``events(user_id, event_id, ts, arrived)``; state is the latest ``ts`` of each user, let go when the watermark is a year past it.
+    """
+    allowed, year = pd.Timedelta(lag), pd.Timedelta("365 days")
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [], "on_time": [], "late": []})
+            return
+        rows = pd.concat(list(frames)).sort_values(["arrived", "event_id"])
+        before = rows["ts"].cummax().shift(1)
+        if state.exists:
+            seen = pd.Timestamp(state.get[0])
+            before = before.fillna(seen).clip(lower=seen)
+        late = int((rows["ts"] < before - allowed).sum())
+        latest = max([rows["ts"].max()] + ([seen] if state.exists else []))
+        state.update((latest.isoformat(),))
+        state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + int(year.total_seconds() * 1000))
+        yield pd.DataFrame({"user_id": [key[0]], "on_time": [len(rows) - late], "late": [late]})
+
+    seen = events.select("user_id", "event_id", "ts", "arrived").withWatermark("arrived", "2 days")
+    return seen.groupBy("user_id").applyInPandasWithState(step, "user_id long, on_time long, late long", "latest string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def index_upkeep(docs: DataFrame, terms: Column, work: Workspace) -> DataFrame:
+    """``(term, df)`` of an index that is kept up while documents come: every micro-batch adds its own postings, repeats of a
+    batch overwrite them, and frequencies are merged from what the batches counted."""
+    spark, folder = docs.sparkSession, work.path("postings")
+
+    def add(frame: DataFrame, batch: int) -> None:
+        postings = counted_terms(frame.select("doc_id", terms.alias("terms")), "doc_id").where("term is not null")
+        postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    docs.writeStream.foreachBatch(add).option("checkpointLocation", work.path("index-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(folder).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of lines as a stream; the checkpoint remembers which files are done, so an import goes on where it stopped."""
+    return spark.readStream.option("maxFilesPerTrigger", FILES_AT_ONCE).text(folder)
