@@ -102,3 +102,44 @@ def abstract_from_positions(index: Column) -> Column:
     """Text of an inverted index, a map of token to places."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
+
+
+def payload_checksum(payload: Column) -> Column:
+    """SHA-256 of a map of fields as compact JSON with sorted names."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload)))), 256)
+
+
+def topic_values(topics: Column) -> Column:
+    """Names and ids of topics and what is above them: lower-cased, without a slash at the end, and the last part of a path."""
+    levels = F.flatten(F.transform(topics, lambda t: F.array(t["topic"], t["subfield"], t["field"], t["domain"])))
+    given = F.filter(F.transform(levels, lambda x: F.lower(F.regexp_replace(F.trim(x), "/+$", ""))), lambda x: x.isNotNull() & (x != ""))
+    return F.array_sort(F.array_distinct(F.concat(given, F.transform(given, lambda x: F.substring_index(x, "/", -1)))))
+
+
+def filter_key(filters: Column) -> Column:
+    """The active ones of a map of search filters as compact JSON with sorted names."""
+    active = F.map_filter(filters, lambda _, v: v.isNotNull() & (F.trim(v) != ""))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(active))))
+
+
+def parsed_filters(raw: Column, this_year: int) -> Column:
+    """A map of raw filters as typed ones and the first reason to refuse them, null if there is none."""
+    number = lambda name, least, most: F.when(raw[name].try_cast("int").between(least, most), raw[name].try_cast("int"))
+    since, until, cited = number("since", 1900, this_year + 1), number("until", 1900, this_year + 1), number("cited", 0, 10_000_000)
+    given = lambda name: F.trim(F.coalesce(raw[name], F.lit(""))) != ""
+    code = F.when((given("since") & since.isNull()) | (given("until") & until.isNull()), "year").when(since > until, "order").when(given("cited") & cited.isNull(), "citations")
+    return F.struct(since.alias("since"), until.alias("until"), cited.alias("cited"), truthy(raw["open"]).alias("open"), F.substring(F.trim(raw["venue"]), 1, 120).alias("venue"), code.alias("code"))
+
+
+def links(doi: Column, issn: Column, pdf: Column, url: Column) -> Column:
+    """Addresses of a work: by DOI, of its journal, of its file (only over http), and the first that there is."""
+    by_doi = F.when(F.coalesce(doi, F.lit("")) != "", F.concat(F.lit("https://doi.org/"), doi))
+    by_issn = F.when(issn.rlike("^[0-9]{4}-[0-9]{3}[0-9Xx]$"), F.concat(F.lit("https://portal.issn.org/resource/ISSN/"), F.upper(issn)))
+    file = F.when(pdf.rlike("^https?://"), pdf)
+    return F.struct(by_doi.alias("doi"), by_issn.alias("issn"), file.alias("pdf"), F.coalesce(file, by_doi, F.nullif(url, F.lit("")), by_issn).alias("best"))
+
+
+def token_usage(response: Column) -> Column:
+    """Prompt, completion and cached tokens of a response in JSON; what is missing or negative is 0."""
+    at = lambda path: F.greatest(F.coalesce(F.get_json_object(response, path).try_cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    return F.struct(at("$.usage.prompt_tokens").alias("prompt"), at("$.usage.completion_tokens").alias("completion"), at("$.usage.prompt_tokens_details.cached_tokens").alias("cached"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import scalars as S
-from papyra.operators import fusion, graph, ranking
+from papyra.operators import evaluate, fusion, graph, ranking
 from papyra.operators import records as R
 from papyra.operators import telemetry as T
 from papyra.plans import views as V
-from papyra.plans.retrieval import _bm25, _docs, _tfidf
+from papyra.plans.retrieval import _bm25, _docs, _qrels, _tfidf, metrics_sql
+from papyra.workspace import Workspace
 
 
 def _corpus(spark, sf_dir):
@@ -94,7 +97,7 @@ def k6_expansion(spark, sf_dir):
 
 def d3_matching(spark, sf_dir):
     """Incoming records (odd ids) against known works (even ids): by identifier, else by title and language if only one fits."""
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("identifier"), S.normalize_title(F.substring("text", 1, 25)).alias("title"), "lang")
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("identifier"), S.normalize_title(F.substring("text", 1, 80)).alias("title"), "lang")
     known, fresh = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
     by_id = known.groupBy("identifier").agg(F.count("*").alias("id_works"), F.min("doc_id").alias("id_work"))
     by_title = known.groupBy("title", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("title_work")).where("n = 1").drop("n")
@@ -135,7 +138,7 @@ def f10_alternate(spark, sf_dir):
 
 def f14_similar_titles(spark, sf_dir):
     """Pairs of titles of which one repeats most of the other's words (Jaccard of at least 0.8)."""
-    w = V.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(S.normalize_title(F.substring("text", 1, 60)), " ")).alias("w"))
+    w = _corpus(spark, sf_dir).select("doc_id", F.array_distinct(F.split(S.normalize_title(F.col("title")), " ")).alias("w"))
     return R.similar_sets(w, 0.8)
 
 
@@ -157,26 +160,51 @@ def g11_resolved(spark, sf_dir):
     return out.groupBy("citing").agg(F.count("*").alias("n"), F.count("cited").alias("resolved"))
 
 
+#: Settings of the runs that are compared: family, name, and how much the length of a document counts.
+RUNS = (("bm25", "bm25_flat", 0.0), ("bm25", "bm25_mild", 0.4), ("bm25", "bm25", 0.75), ("tfidf", "tfidf", None))
+
+
+def _runs(spark, sf_dir):
+    """Measures of every query in every run: family, run, config, query_id, ndcg_10, ap, rr, precision_10, recall_10."""
+    queries, qrels, docs = V.search_queries(spark, sf_dir), _qrels(spark, sf_dir), _docs(spark, sf_dir)
+    index, out = ranking.build_index(docs), []
+    for family, run, b in RUNS:
+        ranked = ranking.top_k(ranking.bm25_scores(index, queries, b=b), 100) if family == "bm25" else ranking.tfidf(ranking.build_tfidf(docs), queries, 100)
+        named = (F.lit(family).alias("family"), F.lit(run).alias("run"), F.lit(b).cast("double").alias("config"))
+        out.append(evaluate.metrics(ranked, qrels, queries, (10,)).select(*named, "query_id", "ndcg_10", "ap", "rr", "precision_10", "recall_10"))
+    return Workspace(spark, "runs").table(reduce(DataFrame.unionByName, out), "runs")
+
+
 def p1_contract(spark, sf_dir):
-    """Fields that differ between the rows of a run, with how many values they have."""
-    e = V.telemetry(spark, sf_dir)
-    wide = e.groupBy("arm").agg(F.count_distinct("kind").alias("kind"), F.count_distinct("day").alias("day"), F.count_distinct("user_id").alias("user_id"))
-    return wide.unpivot("arm", ["kind", "day", "user_id"], "field", "n").where("n > 1")
+    """Settings that differ between the runs of a family, with how many values they have; only those may explain a difference."""
+    r = _runs(spark, sf_dir)
+    wide = r.groupBy("family").agg(F.count_distinct("run").alias("run"), F.count_distinct("config").alias("config"), F.count_distinct("query_id").alias("query_id"))
+    return wide.unpivot("family", ["run", "config", "query_id"], "field", "n").where("n > 1")
+
+
+def p5_adjusted(spark, sf_dir):
+    """Sign tests of each measure between two runs, adjusted for their number."""
+    r = _runs(spark, sf_dir).where("run in ('bm25', 'tfidf')")
+    long = r.unpivot(["run", "query_id"], ["ndcg_10", "ap", "rr", "precision_10", "recall_10"], "name", "value")
+    pairs = long.groupBy("name", "query_id").agg(F.round(F.max(F.when(F.col("run") == "tfidf", F.col("value"))) - F.max(F.when(F.col("run") == "bm25", F.col("value"))), 6).alias("delta"))
+    signs = pairs.groupBy("name").agg(T.count_if(F.col("delta") > 0).alias("wins"), T.count_if(F.col("delta") < 0).alias("losses"))
+    return evaluate.adjusted(signs.select("name", evaluate.sign_test(F.col("wins"), F.col("losses")).alias("p")))
 
 
 def p6_best(spark, sf_dir):
-    e = V.telemetry(spark, sf_dir).groupBy("kind", "rank").agg(F.round(F.avg("latency_ms"), 6).alias("main"), F.round(F.percentile("latency_ms", F.lit(0.95)), 6).alias("p95"))
-    order = Window.partitionBy("kind").orderBy(F.col("main").desc(), "p95", "rank")
-    return e.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    """The run of each family with the best mean nDCG; ties by mean average precision, then by name."""
+    means = _runs(spark, sf_dir).groupBy("family", "run").agg(F.round(F.avg("ndcg_10"), 6).alias("main"), F.round(F.avg("ap"), 6).alias("ap"))
+    order = Window.partitionBy("family").orderBy(F.col("main").desc(), F.col("ap").desc(), "run")
+    return means.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 def p7_matrix(spark, sf_dir):
-    """Registered against observed runs."""
-    e = V.telemetry(spark, sf_dir).select("kind", "rank").distinct().withColumn("seen", F.lit(1))
-    want = spark.range(1, 31).select(F.col("id").cast("int").alias("rank")).crossJoin(F.broadcast(e.select("kind").distinct().limit(10))).withColumn("asked", F.lit(1))  # 300 rows
-    both = want.join(e, ["kind", "rank"], "full")
+    """Registered runs against observed ones, query by query: each registered run should have every query with a judged document."""
+    seen = _runs(spark, sf_dir).where("recall_10 > 0").select("run", "query_id").withColumn("seen", F.lit(1))
+    asked = V.search_queries(spark, sf_dir).select("query_id", F.explode(F.array(*[F.lit(r[1]) for r in RUNS], F.lit("dense"))).alias("run")).withColumn("asked", F.lit(1))
+    both = asked.join(seen, ["run", "query_id"], "full")
     status = F.when(F.col("seen").isNull(), "missing").when(F.col("asked").isNull(), "extra").otherwise("completed")
-    return both.groupBy("kind", status.alias("status")).agg(F.count("*").alias("n"))
+    return both.groupBy("run", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def q1_eligible(spark, sf_dir):
@@ -204,7 +232,7 @@ def q16_sample_size(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (l1_filters, l2_post_filter, l4_top, l5_facets, l6_stats, l7_library, l9_reviews, l10_comments, l12_author_works, l14_profiles, j6_profile_fusion, k6_expansion, d3_matching, d13_authors, e6_fill, f8_split, f10_alternate, f14_similar_titles, f17_feasible, g2_window, g11_resolved, p1_contract, p6_best, p7_matrix, q1_eligible, q7_usage, q12_upsert, q16_sample_size)
+    for f in (l1_filters, l2_post_filter, l4_top, l5_facets, l6_stats, l7_library, l9_reviews, l10_comments, l12_author_works, l14_profiles, j6_profile_fusion, k6_expansion, d3_matching, d13_authors, e6_fill, f8_split, f10_alternate, f14_similar_titles, f17_feasible, g2_window, g11_resolved, p1_contract, p5_adjusted, p6_best, p7_matrix, q1_eligible, q7_usage, q12_upsert, q16_sample_size)
 }
 
 _C = f"WITH {V.CORPUS}"
@@ -214,6 +242,14 @@ _CODE = """CASE WHEN trim(title) = '' THEN 'missing_title' WHEN publication_date
     WHEN length(retrieval_text) < 60 THEN 'abstract' WHEN is_retracted THEN 'retracted' WHEN venue IN ('src3', 'src4') THEN 'topic' END"""
 _B = lambda k: f"WITH {V.INDEX}, {V.BM25_TOP.format(k=k)}"
 
+_SCORED = lambda name, b: f"""{name}_s AS (SELECT q.query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * ({1 - b} + {b} * dl / avgdl))), 6) AS score
+        FROM query_terms q JOIN postings p USING (term) JOIN term_stats USING (term) JOIN doc_stats d ON d.doc_id = p.doc_id, stats GROUP BY ALL),
+    {name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= 100), {metrics_sql(f'{name}_r', f'{name}_m', (10,))}"""
+_MEASURES = "query_id, ndcg_10, ap, rr, precision_10, recall_10"
+_RUNS = f"""WITH {V.INDEX}, {V.TFIDF}, {V.TFIDF_TOP.format(k=100)}, {V.QUERIES_SQL}, {V.QRELS}, {_SCORED('bm25_flat', 0.0)}, {_SCORED('bm25_mild', 0.4)}, {_SCORED('bm25_full', 0.75)}, {metrics_sql('tfidf', 'tfidf_m', (10,))},
+    runs AS MATERIALIZED (SELECT 'bm25' AS family, 'bm25_flat' AS run, 0.0::DOUBLE AS config, {_MEASURES} FROM bm25_flat_m UNION ALL SELECT 'bm25', 'bm25_mild', 0.4, {_MEASURES} FROM bm25_mild_m UNION ALL SELECT 'bm25', 'bm25', 0.75, {_MEASURES} FROM bm25_full_m
+        UNION ALL SELECT 'tfidf', 'tfidf', NULL, {_MEASURES} FROM tfidf_m)"""
+
 ORACLES = {
     "l1_filters": f"{_C} SELECT doc_id, venue, citation_count FROM corpus WHERE year(publication_date) BETWEEN 2017 AND 2021 AND lower(language) = 'en' AND citation_count >= 100 AND lower(venue) IN ('src1', 'src2', 'src3')",
     "l2_post_filter": f"{_B(50)}, {V.CORPUS} SELECT * FROM (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS shown FROM bm25 JOIN corpus USING (doc_id) WHERE citation_count >= 300 AND language IN ('en', 'es')) WHERE shown <= 10",
@@ -241,7 +277,7 @@ ORACLES = {
         gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM g WHERE score > 0) WHERE rank <= 50),
         f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(CASE WHEN c = 0 THEN rank END) AS rank_text, max(CASE WHEN c = 1 THEN rank END) AS rank_graph FROM (SELECT query_id, doc_id, rank, 0 AS c FROM bm25 UNION ALL SELECT query_id, doc_id, rank, 1 FROM gr) GROUP BY 1, 2)
         SELECT query_id, doc_id, score, rank, rank_text, rank_graph FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM f) WHERE rank <= 20""",
-    "d3_matching": f"""WITH d AS (SELECT doc_id, md5(text) AS identifier, {_T('substr(text, 1, 25)')} AS title, lang FROM documents), i AS (SELECT identifier, count(*) AS n, min(doc_id) AS w FROM d WHERE doc_id % 2 = 0 GROUP BY 1), t AS (SELECT title, lang, min(doc_id) AS w FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1)
+    "d3_matching": f"""WITH d AS (SELECT doc_id, md5(text) AS identifier, {_T('substr(text, 1, 80)')} AS title, lang FROM documents), i AS (SELECT identifier, count(*) AS n, min(doc_id) AS w FROM d WHERE doc_id % 2 = 0 GROUP BY 1), t AS (SELECT title, lang, min(doc_id) AS w FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1)
         SELECT d.doc_id, CASE WHEN i.n > 1 THEN 'conflict' WHEN i.n = 1 THEN 'identifier' WHEN t.w IS NOT NULL THEN 'title' ELSE 'new' END AS how, CASE WHEN i.n = 1 THEN i.w WHEN i.n IS NULL THEN t.w END AS work FROM d LEFT JOIN i USING (identifier) LEFT JOIN t ON t.title = d.title AND t.lang = d.lang WHERE d.doc_id % 2 = 1""",
     "d13_authors": f"{_C}, a AS (SELECT doc_id, i - 1 AS i, topics[i] AS name FROM corpus, range(1, 3) r(i)) SELECT name, doc_id, CAST(i AS INTEGER) AS i FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, i) AS n FROM a) WHERE n = 1 AND name NOT IN (SELECT n_name FROM nation)",
     "e6_fill": """WITH r AS (SELECT md5(text) AS identifier, doc_id % 4 AS place, doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS value FROM documents)
@@ -249,16 +285,22 @@ ORACLES = {
     "f8_split": """WITH q AS (SELECT item_id AS query_id, CAST(item_id % 3 AS VARCHAR) AS stratum FROM benchmark), n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('7:' || query_id), query_id) AS n FROM q),
         d AS (SELECT query_id FROM n ORDER BY n, sha256('7:' || stratum) LIMIT 10) SELECT query_id, stratum, CASE WHEN query_id IN (SELECT query_id FROM d) THEN 'dev' ELSE 'test' END AS split FROM q""",
     "f10_alternate": "SELECT item_id AS query_id, CAST((row_number() OVER (ORDER BY sha256('a:' || item_id), item_id) - 1) % 2 AS INTEGER) AS author FROM benchmark",
-    "f14_similar_titles": f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(string_split({_T('substr(text, 1, 60)')}, ' '))) AS w FROM documents), s AS (SELECT w, min(doc_id) AS doc_id FROM t GROUP BY w),
+    "f14_similar_titles": f"""WITH t AS (SELECT doc_id, list_sort(list_distinct(string_split({_T('substr(text, 1, 80)')}, ' '))) AS w FROM documents), s AS (SELECT w, min(doc_id) AS doc_id FROM t GROUP BY w),
         p AS (SELECT a.doc_id AS one, b.doc_id AS two, round(len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM s a JOIN s b ON a.doc_id < b.doc_id)
         SELECT one, two, jaccard FROM p WHERE jaccard >= 0.8 UNION ALL SELECT s.doc_id, t.doc_id, 1.0 FROM t JOIN s ON s.w = t.w AND s.doc_id <> t.doc_id""",
     "f17_feasible": f"{_C} SELECT language, count(*) FILTER (code IS NULL) AS available, count(*) FILTER (code IS NULL) >= 50 AS feasible FROM (SELECT language, {_CODE} AS code FROM corpus) GROUP BY language",
     "g2_window": f"{_C} SELECT count(*) FILTER (publication_date BETWEEN DATE '2017-01-01' AND DATE '2022-12-31') AS kept, count(*) FILTER (publication_date < DATE '2017-01-01') AS past, count(*) FILTER (publication_date > DATE '2022-12-31') AS future, count(*) FILTER (publication_date IS NULL) AS missing, min(year(publication_date)) AS first_year, max(year(publication_date)) AS last_year FROM corpus",
     "g11_resolved": f"WITH {V.EDGES} SELECT citing, count(*) AS n, count(coalesce(cited, CASE WHEN p_partkey <> citing THEN p_partkey END)) AS resolved FROM edges LEFT JOIN part ON ref = 'part:' || p_partkey AND p_partkey % 2 = 0 GROUP BY citing",
-    "p1_contract": f"{_E}, w AS (SELECT arm, count(DISTINCT kind) AS kind, count(DISTINCT day) AS day, count(DISTINCT user_id) AS user_id FROM telemetry GROUP BY arm) SELECT arm, field, n FROM (SELECT arm, 'kind' AS field, kind AS n FROM w UNION ALL SELECT arm, 'day', day FROM w UNION ALL SELECT arm, 'user_id', user_id FROM w) WHERE n > 1",
-    "p6_best": f"{_E}, g AS (SELECT kind, rank, round(avg(latency_ms), 6) AS main, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM telemetry GROUP BY ALL) SELECT kind, rank, main, p95 FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY main DESC, p95, rank) AS n FROM g) WHERE n = 1",
-    "p7_matrix": f"""{_E}, e AS (SELECT DISTINCT kind, rank, 1 AS seen FROM telemetry), w AS (SELECT kind, CAST(r AS INTEGER) AS rank, 1 AS asked FROM (SELECT DISTINCT kind FROM e), range(1, 31) x(r))
-        SELECT kind, CASE WHEN seen IS NULL THEN 'missing' WHEN asked IS NULL THEN 'extra' ELSE 'completed' END AS status, count(*) AS n FROM w FULL JOIN e USING (kind, rank) GROUP BY ALL""",
+    "p1_contract": f"{_RUNS}, w AS (SELECT family, count(DISTINCT run) AS run, count(DISTINCT config) AS config, count(DISTINCT query_id) AS query_id FROM runs GROUP BY family) SELECT family, field, n FROM (SELECT family, 'run' AS field, run AS n FROM w UNION ALL SELECT family, 'config', config FROM w UNION ALL SELECT family, 'query_id', query_id FROM w) WHERE n > 1",
+    "p5_adjusted": f"""{_RUNS}, l AS (UNPIVOT (SELECT run, query_id, ndcg_10, ap, rr, precision_10, recall_10 FROM runs WHERE run IN ('bm25', 'tfidf')) ON ndcg_10, ap, rr, precision_10, recall_10 INTO NAME name VALUE value),
+        d AS (SELECT name, query_id, round(max(value) FILTER (run = 'tfidf') - max(value) FILTER (run = 'bm25'), 6) AS delta FROM l GROUP BY ALL), s AS (SELECT name, count(*) FILTER (delta > 0) AS w, count(*) FILTER (delta < 0) AS l FROM d GROUP BY name),
+        z AS (SELECT name, CASE WHEN w + l > 0 THEN greatest(abs(w - l) - 1, 0) / sqrt(w + l) ELSE 0 END AS z FROM s), t AS (SELECT name, z, 1 / (1 + 0.2316419 * z) AS t FROM z),
+        p AS (SELECT name, round(least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))), 6) AS p FROM t),
+        r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS n FROM p)
+        SELECT name, p, round(max(least(1.0, (n - k + 1) * p)) OVER (ORDER BY k), 6) AS holm, round(min(least(1.0, n * p / k)) OVER (ORDER BY k DESC), 6) AS bh FROM r""",
+    "p6_best": f"{_RUNS}, g AS (SELECT family, run, round(avg(ndcg_10), 6) AS main, round(avg(ap), 6) AS ap FROM runs GROUP BY ALL) SELECT family, run, main, ap FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY main DESC, ap DESC, run) AS n FROM g) WHERE n = 1",
+    "p7_matrix": f"""{_RUNS}, seen AS (SELECT run, query_id, 1 AS seen FROM runs WHERE recall_10 > 0), w AS (SELECT query_id, run, 1 AS asked FROM queries, (VALUES ('bm25_flat'), ('bm25_mild'), ('bm25'), ('tfidf'), ('dense')) v(run))
+        SELECT run, CASE WHEN seen IS NULL THEN 'missing' WHEN asked IS NULL THEN 'extra' ELSE 'completed' END AS status, count(*) AS n FROM w FULL JOIN seen USING (run, query_id) GROUP BY ALL""",
     "q1_eligible": f"{_E} SELECT arm, CASE WHEN c_mktsegment IS NULL THEN 'no actor' WHEN c_mktsegment = 'BUILDING' THEN 'staff' WHEN kind = 'provider_failed' THEN 'no results' ELSE 'eligible' END AS why, count(*) AS n FROM telemetry LEFT JOIN customer ON c_custkey = user_id GROUP BY ALL",
     "q7_usage": f"{_E} SELECT day, CAST(sum(k * 10) AS BIGINT) AS prompt, CAST(sum(k) AS BIGINT) AS completion, round(sum(latency_ms) / 1e6, 6) AS cost, round(count(*) FILTER (k % 4 = 0) / count(*), 6) AS cache_rate FROM telemetry GROUP BY day",
     "q12_upsert": f"{_E} SELECT user_id, k, kind, event_id, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k, kind ORDER BY ts DESC, event_id DESC) AS n FROM telemetry) WHERE n = 1",

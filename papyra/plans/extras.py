@@ -72,8 +72,10 @@ def m9_blind_order(spark, sf_dir):
 
 
 def m12_judged_depth(spark, sf_dir):
-    j = V.judgments(spark, sf_dir).select((F.col("doc_id") % 40).alias("query_id"), "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("judged"))
-    return V.search_queries(spark, sf_dir).select("query_id").join(j, "query_id", "left").na.fill(0, ["judged"]).withColumn("enough", F.col("judged") >= 10)
+    """How many of the first 20 documents of each query are judged, and whether that is enough."""
+    judged = V.judgments(spark, sf_dir).select("doc_id").distinct()
+    n = _bm25(spark, sf_dir, 20).join(judged, "doc_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("judged"))
+    return V.search_queries(spark, sf_dir).select("query_id").join(n, "query_id", "left").na.fill(0, ["judged"]).withColumn("enough", F.col("judged") >= 10)
 
 
 def d14_citations(spark, sf_dir):
@@ -152,14 +154,9 @@ def q9_pair_overlap(spark, sf_dir):
     return half.select("user_id", common.alias("common"), union.alias("union"), T.rate(common, union).alias("share"))
 
 
-def q17_protocol(spark, sf_dir):
-    e = V.telemetry(spark, sf_dir).where("kind in ('click', 'save')")
-    return e.groupBy("arm").agg(F.max_by("event_id", F.struct("k", "event_id")).alias("current"), F.max("k").alias("version"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (l3_latest, l8_topical, l11_library_sizes, l13_explanations, l17_tags, l18_newest, l19_cards, m8_pool, m9_blind_order, m12_judged_depth, d14_citations, d17_import_report, e1_versions, e8_coverage, e10_status, f4_quota, f18_window, g12_aligned, g17_ranked_list, p10_canary, q9_pair_overlap, q17_protocol)
+    for f in (l3_latest, l8_topical, l11_library_sizes, l13_explanations, l17_tags, l18_newest, l19_cards, m8_pool, m9_blind_order, m12_judged_depth, d14_citations, d17_import_report, e1_versions, e8_coverage, e10_status, f4_quota, f18_window, g12_aligned, g17_ranked_list, p10_canary, q9_pair_overlap)
 }
 
 _C, _E = f"WITH {V.CORPUS}", f"WITH {V.TELEMETRY}"
@@ -184,7 +181,7 @@ ORACLES = {
     "l19_cards": f"{_B(20)}, {V.CORPUS} SELECT query_id, rank, doc_id, title, venue, substr(retrieval_text, 1, 350) AS summary FROM bm25 JOIN corpus USING (doc_id)",
     "m8_pool": f"{_BT(20)} SELECT query_id, doc_id, a.rank AS bm25, b.rank AS tfidf FROM bm25 a FULL JOIN tfidf b USING (query_id, doc_id)",
     "m9_blind_order": f"{_B(10)} SELECT query_id, assessor, doc_id, row_number() OVER (PARTITION BY query_id, assessor ORDER BY sha256(assessor || ':' || query_id || ':' || doc_id)) AS place FROM bm25, (VALUES ('r1'), ('r2')) v(assessor)",
-    "m12_judged_depth": f"WITH {V.JUDGMENTS}, j AS (SELECT doc_id % 40 AS query_id, count(DISTINCT doc_id) AS judged FROM judgments GROUP BY 1) SELECT item_id AS query_id, coalesce(judged, 0) AS judged, coalesce(judged, 0) >= 10 AS enough FROM benchmark LEFT JOIN j ON j.query_id = item_id",
+    "m12_judged_depth": f"{_B(20)}, j AS (SELECT query_id, count(*) AS judged FROM bm25 WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT item_id AS query_id, coalesce(judged, 0) AS judged, coalesce(judged, 0) >= 10 AS enough FROM benchmark LEFT JOIN j ON j.query_id = item_id",
     "d14_citations": f"""WITH {V.EDGES}, o AS (SELECT citing, ref, cited AS was, 1 AS had FROM edges WHERE citing % 3 <> 0), w AS (SELECT citing, ref, CASE WHEN citing % 7 <> 0 THEN cited END AS now, 1 AS there FROM edges WHERE citing % 5 <> 0)
         SELECT CASE WHEN had IS NULL THEN 'added' WHEN there IS NULL THEN 'kept' WHEN was IS DISTINCT FROM now THEN 'changed' ELSE 'same' END AS what, count(*) AS n FROM o FULL JOIN w USING (citing, ref) GROUP BY 1""",
     "d17_import_report": f"{_C}, r AS (SELECT venue, {_CODE} AS code FROM corpus) SELECT venue, count(*) FILTER (code IS NULL) AS eligible, count(code) AS rejected, greatest(0, 10 - count(*) FILTER (code IS NULL)) AS short FROM r GROUP BY venue",
@@ -199,5 +196,4 @@ ORACLES = {
         SELECT count(*) AS n, round(avg(jaccard), 5) AS jaccard, round(avg(common), 5) AS common, count(*) FILTER (common = 10) AS same FROM o""",
     "q9_pair_overlap": f"""{_E}, h AS (SELECT user_id, coalesce(list(DISTINCT k) FILTER (day(day) <= 15), []) AS a, coalesce(list(DISTINCT k) FILTER (day(day) > 15), []) AS b FROM telemetry WHERE kind = 'impression' GROUP BY 1)
         SELECT user_id, len(list_intersect(a, b)) AS common, len(list_distinct(list_concat(a, b))) AS "union", round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 6) AS share FROM h""",
-    "q17_protocol": f"{_E} SELECT arm, arg_max(event_id, (k, event_id)) AS current, max(k) AS version FROM telemetry WHERE kind IN ('click', 'save') GROUP BY arm",
 }

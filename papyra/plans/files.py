@@ -39,10 +39,10 @@ def a9_judged_queries(spark, sf_dir):
 
 
 def a10_foreign_keys(spark, sf_dir):
-    """Qrels over half of the documents and most queries: those that point outside."""
+    """Qrels that point outside the labelled documents or the queries up to 2023."""
     docs, queries = V.table(spark, sf_dir, "documents"), V.search_queries(spark, sf_dir)
     qrels = ranking.graded(docs, queries)
-    return files.qrels_violations(qrels, queries.where("query_id % 5 <> 0"), docs.where("doc_id % 2 = 0"))
+    return files.qrels_violations(qrels, queries.where("query_date < '2024-01-01'"), V.table(spark, sf_dir, "labels").select("doc_id").distinct())
 
 
 def a11_edges(spark, sf_dir):
@@ -63,6 +63,6 @@ ORACLES = {
     "a2_jsonl": "SELECT doc_id, lang, source, length(text) AS n FROM documents",
     "a4_qrels": f"WITH {V.QRELS} SELECT * FROM qrels",
     "a9_judged_queries": f"WITH {V.QRELS}, {V.QUERIES_SQL} SELECT query_id, query_date FROM queries WHERE query_id IN (SELECT query_id FROM qrels)",
-    "a10_foreign_keys": f"WITH {V.QRELS} SELECT query_id, doc_id, 'unknown query' AS code FROM qrels WHERE query_id % 5 = 0 UNION ALL SELECT query_id, doc_id, 'unknown document' FROM qrels WHERE doc_id % 2 <> 0",
+    "a10_foreign_keys": f"WITH {V.QRELS}, {V.QUERIES_SQL} SELECT query_id, doc_id, 'unknown query' AS code FROM qrels JOIN queries USING (query_id) WHERE query_date >= DATE '2024-01-01' UNION ALL SELECT query_id, doc_id, 'unknown document' FROM qrels WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "a11_edges": f"WITH {V.EDGES} SELECT CAST(citing AS VARCHAR) AS citing, count(*) AS n, count(cited) AS resolved FROM edges GROUP BY citing",
 }

@@ -9,7 +9,7 @@ from papyra.operators import evaluate, temporal
 from papyra.operators import telemetry as T
 from papyra.operators.ranking import graded
 from papyra.plans import views as V
-from papyra.plans.retrieval import metrics_sql
+from papyra.plans.retrieval import _bm25, metrics_sql
 
 
 def _events(spark, sf_dir):
@@ -49,9 +49,10 @@ def q10_pair_summary(spark, sf_dir):
 def q11_validation(spark, sf_dir):
     """Interactions by why they are refused: never shown, wrong rank, or fine."""
     e = _events(spark, sf_dir)
-    shown = e.where("kind = 'impression'").groupBy("user_id").agg(F.collect_set("k").alias("ks"))
-    done = e.where("kind in ('click', 'save')").join(shown, "user_id", "left")
-    code = F.when(F.col("ks").isNull(), "no exposure").when(~F.array_contains("ks", F.col("k")), "not exposed").when(F.col("rank") > 15, "rank").otherwise("ok")
+    shown = e.where("kind = 'impression'").select("user_id", "k").distinct()
+    anyone = shown.select("user_id").distinct().withColumn("user", F.lit(1))
+    done = e.where("kind in ('click', 'save')").join(shown.withColumn("exposed", F.lit(1)), ["user_id", "k"], "left").join(anyone, "user_id", "left")
+    code = F.when(F.col("user").isNull(), "no exposure").when(F.col("exposed").isNull(), "not exposed").when(F.col("rank") > 15, "rank").otherwise("ok")
     return done.groupBy("kind", code.alias("code")).agg(F.count("*").alias("n"))
 
 
@@ -76,12 +77,6 @@ def p2_pivot(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("kind").pivot("arm", [0, 1]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 5).alias("mean")).withColumnsRenamed({"0_n": "n_0", "0_mean": "mean_0", "1_n": "n_1", "1_mean": "mean_1"})
 
 
-def p5_adjusted(spark, sf_dir):
-    """Adjusted p of made-up tests, one per kind and arm: the share of the event kind stands for p."""
-    e = _events(spark, sf_dir).groupBy(F.concat_ws(":", "kind", "arm").alias("name")).agg(F.count("*").alias("n"))
-    return evaluate.adjusted(e.select("name", F.round(F.col("n") / 40000, 6).alias("p")))
-
-
 def p8_two_proportions(spark, sf_dir):
     return T.two_proportions(_events(spark, sf_dir).where("kind in ('impression', 'click')").groupBy("arm").agg(T.count_if(F.col("kind") == "click").alias("hits"), F.count("*").alias("n")))
 
@@ -113,11 +108,11 @@ def n7_adjudication(spark, sf_dir):
 
 
 def n1_pool_coverage(spark, sf_dir):
-    """Items of the pool (every third document) that each assessor has not judged, and items outside it that were."""
-    pool = V.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
-    assessors = V.judgments(spark, sf_dir).select("assessor").distinct()
-    asked = pool.crossJoin(F.broadcast(assessors.limit(100))).withColumn("asked", F.lit(1))  # a few assessors
-    both = asked.join(V.judgments(spark, sf_dir), ["doc_id", "assessor"], "full")
+    """Documents of the pool (the first 20 of every query) that each assessor has not judged, and documents outside it that were."""
+    pool = _bm25(spark, sf_dir, 20).select("doc_id").distinct()
+    judged = V.judgments(spark, sf_dir)
+    asked = judged.select("assessor").distinct().join(pool).withColumn("asked", F.lit(1))  # every assessor is asked about all of the pool
+    both = asked.join(judged, ["doc_id", "assessor"], "full")
     return both.groupBy("assessor").agg(T.count_if(F.col("label").isNull()).alias("missing"), T.count_if(F.col("asked").isNull()).alias("extra"), T.count_if(F.col("label").isNotNull() & F.col("asked").isNotNull()).alias("judged"))
 
 
@@ -159,7 +154,7 @@ def m15_temporal_metrics(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (q2_first_per_day, q3_attribution, q4_outcomes, q5_nearest_rank, q6_dashboard, q8_pairs, q10_pair_summary, q11_validation, q13_prune, q14_privacy, o8_latency, p2_pivot, p5_adjusted, p8_two_proportions, p11_cold_warm, r6_circuit, r8_sessions, n1_pool_coverage, n2_agreement, n7_adjudication, m1_split, m2_leaks, m4_fold_df, m5_fold_sizes, m6_temporal_bm25, m15_temporal_metrics)
+    for f in (q2_first_per_day, q3_attribution, q4_outcomes, q5_nearest_rank, q6_dashboard, q8_pairs, q10_pair_summary, q11_validation, q13_prune, q14_privacy, o8_latency, p2_pivot, p8_two_proportions, p11_cold_warm, r6_circuit, r8_sessions, n1_pool_coverage, n2_agreement, n7_adjudication, m1_split, m2_leaks, m4_fold_df, m5_fold_sizes, m6_temporal_bm25, m15_temporal_metrics)
 }
 
 _E = f"WITH {V.TELEMETRY}"
@@ -192,8 +187,6 @@ ORACLES = {
     "q14_privacy": "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN text END AS text, sha256(lower(trim(text))) AS digest, length(text) AS n_chars FROM conversations WHERE role = 'user'",
     "o8_latency": f"{_E} SELECT kind, round(avg(latency_ms), 5) AS mean, round(quantile_cont(latency_ms, 0.5), 5) AS p50, round(quantile_cont(latency_ms, 0.95), 5) AS p95, round(1000 / avg(latency_ms), 5) AS per_second FROM telemetry GROUP BY kind",
     "p2_pivot": f"{_E} SELECT kind, {', '.join(f'count(*) FILTER (arm = {a}) AS n_{a}, round(avg(latency_ms) FILTER (arm = {a}), 5) AS mean_{a}' for a in (0, 1))} FROM telemetry GROUP BY kind",
-    "p5_adjusted": f"""{_E}, t AS (SELECT kind || ':' || arm AS name, round(count(*) / 40000, 6) AS p FROM telemetry GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS n FROM t)
-        SELECT name, p, round(max(least(1.0, (n - k + 1) * p)) OVER (ORDER BY k), 6) AS holm, round(min(least(1.0, n * p / k)) OVER (ORDER BY k DESC), 6) AS bh FROM r""",
     "p8_two_proportions": f"""{_E}, o AS (SELECT arm, count(*) FILTER (kind = 'click')::DOUBLE AS h, count(*)::DOUBLE AS n FROM telemetry WHERE kind IN ('impression', 'click') GROUP BY arm), a AS (SELECT h AS h0, n AS n0 FROM o WHERE arm = 0), b AS (SELECT h AS h1, n AS n1 FROM o WHERE arm = 1), z AS (SELECT 1.959963984540054::DOUBLE AS z)
         SELECT {', '.join(f'round(h{i} / n{i}, 6) AS p{i}, round((h{i} / n{i} + z * z / (2 * n{i}) - z * sqrt(h{i} / n{i} * (1 - h{i} / n{i}) / n{i} + z * z / (4 * n{i} * n{i}))) / (1 + z * z / n{i}), 6) AS low{i}, round((h{i} / n{i} + z * z / (2 * n{i}) + z * sqrt(h{i} / n{i} * (1 - h{i} / n{i}) / n{i} + z * z / (4 * n{i} * n{i}))) / (1 + z * z / n{i}), 6) AS high{i}' for i in (0, 1))},
         round((h1 / n1 - h0 / n0) / sqrt((h0 + h1) / (n0 + n1) * (1 - (h0 + h1) / (n0 + n1)) * (1 / n0 + 1 / n1)), 6) AS z FROM a, b, z""",
@@ -202,7 +195,7 @@ ORACLES = {
         SELECT user_id, count(*) AS length, min(ts) AS since, max(ts) AS until FROM m WHERE failed GROUP BY user_id, run HAVING count(*) >= 2""",
     "r8_sessions": f"""{_E}, m AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM telemetry WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM m) SELECT user_id, min(ts) AS start, count(*) AS n, count(*) FILTER (kind = 'click') AS clicks FROM s GROUP BY user_id, sid""",
-    "n1_pool_coverage": f"""WITH {V.JUDGMENTS}, a AS (SELECT doc_id, assessor, 1 AS asked FROM documents, (SELECT DISTINCT assessor FROM judgments) WHERE doc_id % 3 = 0)
+    "n1_pool_coverage": f"""WITH {V.INDEX}, {V.BM25_TOP.format(k=20)}, {V.JUDGMENTS}, a AS (SELECT doc_id, assessor, 1 AS asked FROM (SELECT DISTINCT doc_id FROM bm25), (SELECT DISTINCT assessor FROM judgments))
         SELECT assessor, count(*) FILTER (label IS NULL) AS missing, count(*) FILTER (asked IS NULL) AS extra, count(*) FILTER (label IS NOT NULL AND asked IS NOT NULL) AS judged FROM a FULL JOIN judgments USING (doc_id, assessor) GROUP BY assessor""",
     "n2_agreement": f"""WITH {V.JUDGMENTS}, b AS (SELECT x.label AS x, y.label AS y FROM judgments x JOIN judgments y USING (doc_id) WHERE x.assessor = 'quality' AND y.assessor = 'toxic'), n AS (SELECT count(*)::DOUBLE AS n FROM b),
         pe AS (SELECT sum(CASE WHEN r.x = c.y THEN r.k * c.k ELSE 0 END) AS same, sum((r.x - c.y) * (r.x - c.y) * r.k * c.k) AS apart FROM (SELECT x, count(*) AS k FROM b GROUP BY 1) r, (SELECT y, count(*) AS k FROM b GROUP BY 1) c),

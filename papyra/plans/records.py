@@ -12,7 +12,7 @@ from papyra.workspace import Workspace
 
 
 def c_normalisers(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 60).alias("title"))
+    d = V.corpus(spark, sf_dir).select("doc_id", F.col("venue").alias("source"), F.col("language").alias("lang"), "title")
     doi = F.concat(F.when(F.col("doc_id") % 3 == 0, "https://doi.org/").when(F.col("doc_id") % 3 == 1, "DOI:").otherwise(" "), F.lit("10.1/AB"), "doc_id")
     arxiv = F.concat(F.when(F.col("doc_id") % 2 == 0, "arXiv:").otherwise("HTTPS://arxiv.org/abs/"), "doc_id", F.lit(".001v"), (F.col("doc_id") % 9).cast("string"))
     openalex = F.concat(F.lit("https://openalex.org/w"), "doc_id", F.lit("/"))
@@ -35,7 +35,7 @@ def c_keys(spark, sf_dir):
 
 def c_keyed_digests(spark, sf_dir):
     """UUIDs by name, keyed digests and traffic buckets; SQL has neither, tests compare with the standard library."""
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("q"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("q"))
     digest = S.hmac_sha256(F.lower(F.trim("q")), b"a key for tests")
     return d.select("doc_id", S.uuid5(F.concat(F.lit("doi:10.1/"), "doc_id")).alias("work_id"), digest.alias("digest"), S.bucket(digest).alias("bucket"))
 
@@ -63,13 +63,13 @@ def b8_pages(spark, sf_dir):
 def _copies(spark, sf_dir):
     """Documents as provider records: equal texts are the same work, its identifier is the digest of the text."""
     d = V.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.md5(F.col("text").cast("binary")).alias("identifier"), F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("language"), (F.col("doc_id") * 31 % 97).alias("citations"), F.col("source"))
+    return d.select("doc_id", F.concat(F.lit("p"), F.col("doc_id") % 4).alias("provider"), F.md5(F.col("text").cast("binary")).alias("identifier"), F.substring("text", 1, 80).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("language"), (F.col("doc_id") * 31 % 97).alias("citations"), F.col("source"))
 
 
 def d6_clusters(spark, sf_dir):
-    """Records that share a text or (source, first characters) are one work."""
+    """Records that share a text or (source, title) are one work."""
     r = _copies(spark, sf_dir)
-    ids = r.select("doc_id", F.explode(F.array(F.concat(F.lit("text:"), "identifier"), F.concat(F.lit("head:"), "source", F.lit(":"), F.substring("title", 1, 20)))).alias("identifier"))
+    ids = r.select("doc_id", F.explode(F.array(F.concat(F.lit("text:"), "identifier"), F.concat(F.lit("head:"), "source", F.lit(":"), "title"))).alias("identifier"))
     return R.clusters(ids, Workspace(spark, "clusters"))
 
 
@@ -158,13 +158,13 @@ QUERIES = {
 }
 
 _TITLE = r"trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))"
-_COPIES = "r AS (SELECT doc_id, 'p' || doc_id % 4 AS provider, md5(text) AS identifier, substr(text, 1, 40) AS title, CASE WHEN doc_id % 3 <> 0 THEN lang END AS language, doc_id * 31 % 97 AS citations, source FROM documents)"
+_COPIES = "r AS (SELECT doc_id, 'p' || doc_id % 4 AS provider, md5(text) AS identifier, substr(text, 1, 80) AS title, CASE WHEN doc_id % 3 <> 0 THEN lang END AS language, doc_id * 31 % 97 AS citations, source FROM documents)"
 _TERCILE = "least(2, (3 * (row_number() OVER (ORDER BY citation_count, doc_id) - 1)) // greatest(count(*) OVER () - 1, 1))"
 _CODE = """CASE WHEN trim(title) = '' THEN 'missing_title' WHEN publication_date < DATE '2016-01-01' OR publication_date > DATE '2024-06-30' THEN 'outside_range' WHEN language NOT IN ('en', 'de') THEN 'language'
     WHEN length(retrieval_text) < 60 THEN 'abstract' WHEN is_retracted THEN 'retracted' WHEN venue IN ('src3', 'src4') THEN 'topic' END"""
 
 ORACLES = {
-    "c_normalisers": rf"""WITH d AS (SELECT doc_id, lang, source, substr(text, 1, 60) AS title, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'DOI:' ELSE ' ' END || '10.1/AB' || doc_id AS doi,
+    "c_normalisers": rf"""WITH d AS (SELECT doc_id, lang, source, substr(text, 1, 80) AS title, CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'DOI:' ELSE ' ' END || '10.1/AB' || doc_id AS doi,
             CASE WHEN doc_id % 2 = 0 THEN 'arXiv:' ELSE 'HTTPS://arxiv.org/abs/' END || doc_id || '.001v' || doc_id % 9 AS arxiv, '10.1/ab' || doc_id AS d0, doc_id || '.001' AS a0 FROM documents)
         SELECT doc_id, {_TITLE} AS title, d0 AS doi, a0 AS arxiv, 'W' || doc_id AS openalex, CASE WHEN doc_id % 2 = 0 THEN d0 ELSE trim(doi) END AS identifier,
             CASE doc_id % 4 WHEN 0 THEN 'doi:' || d0 WHEN 1 THEN 'arxiv:' || a0 ELSE 'legacy:' || doc_id END AS canonical_key, ['preprint', 'accepted', 'published', 'unknown'][doc_id % 4 + 1] AS version_type,
@@ -176,7 +176,7 @@ ORACLES = {
         FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40) SELECT doc_id, item_id, array_to_string(list_sort(list_intersect(q, t))[1:6], ' ') AS terms FROM w""",
     "b8_pages": r"""WITH t AS (SELECT page_id, url, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS x FROM pages)
         SELECT page_id, url AS identifier, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, length(x) AS n_chars, md5(x) AS digest FROM t""",
-    "d6_clusters": f"""WITH RECURSIVE {_COPIES}, ids AS (SELECT doc_id, 'text:' || identifier AS i FROM r UNION ALL SELECT doc_id, 'head:' || source || ':' || substr(title, 1, 20) FROM r), l AS (SELECT i, min(doc_id) AS head FROM ids GROUP BY i),
+    "d6_clusters": f"""WITH RECURSIVE {_COPIES}, ids AS (SELECT doc_id, 'text:' || identifier AS i FROM r UNION ALL SELECT doc_id, 'head:' || source || ':' || title FROM r), l AS (SELECT i, min(doc_id) AS head FROM ids GROUP BY i),
         e AS (SELECT DISTINCT doc_id AS a, head AS b FROM ids JOIN l USING (i)), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT doc_id AS a, doc_id AS reach FROM r UNION SELECT w.a, b.b FROM walk w JOIN b ON b.a = w.reach)
         SELECT a AS doc_id, min(reach) AS work FROM walk GROUP BY a""",
     "d7_merge": f"""WITH {_COPIES}, p AS (SELECT *, CASE provider WHEN 'p0' THEN 0 WHEN 'p1' THEN 3 WHEN 'p2' THEN 2 ELSE 1 END AS priority FROM r)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyra.functions.text import tokens
 from papyra.operators import dense, evaluate, fusion, ranking
 from papyra.plans import views as V
+from papyra.workspace import Workspace
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +53,9 @@ def h7_padding(spark, sf_dir):
     return ranking.padded(_bm25(spark, sf_dir, 1200), V.search_queries(spark, sf_dir), _docs(spark, sf_dir), 1200)
 
 
-def _exclusions(spark, sf_dir):
-    return V.search_queries(spark, sf_dir).crossJoin(F.broadcast(_docs(spark, sf_dir).where("doc_id < 200").select("doc_id"))).where("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id")
-
-
 def h10_exclusions(spark, sf_dir):
-    return _bm25(spark, sf_dir, 10, _exclusions(spark, sf_dir))
+    """What is found beside the documents that are known to be relevant; places are filled from below."""
+    return _bm25(spark, sf_dir, 10, _qrels(spark, sf_dir))
 
 
 def h9_tfidf(spark, sf_dir):
@@ -79,10 +77,10 @@ def h13_recency(spark, sf_dir):
 
 
 def h14_similar(spark, sf_dir):
-    """Documents as queries (every hundredth), themselves left out; terms in more than a fifth of the documents do not count."""
+    """Documents as queries (every hundredth), themselves left out."""
     docs = _docs(spark, sf_dir)
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    scored = ranking.tfidf_scores(ranking.build_tfidf(docs, max_df=0.2), asked).where("query_id <> doc_id")
+    scored = ranking.tfidf_scores(ranking.build_tfidf(docs), asked).where("query_id <> doc_id")
     return ranking.top_k(scored, 8)
 
 
@@ -122,10 +120,12 @@ def j4_weighted(spark, sf_dir):
 
 
 def j5_two_arms(spark, sf_dir):
-    """Baseline and expanded queries (their first half), fused; names of the arms are prefixed."""
+    """Queries as they are and expanded by the title of their best hit, fused; names of the arms are prefixed."""
     index, queries = ranking.build_index(_docs(spark, sf_dir)), V.search_queries(spark, sf_dir)
-    expanded = queries.select("query_id", F.expr("substring(text, 1, length(text) div 2)").alias("text"))
-    fused = fusion.rrf({"baseline:bm25": ranking.bm25(index, queries, 50), "expanded:bm25": ranking.bm25(index, expanded, 50)}, 10, {"expanded:bm25": 0.5})
+    baseline = Workspace(spark, "arms").table(ranking.bm25(index, queries, 50), "baseline")
+    titles = baseline.where("rank = 1").join(V.corpus(spark, sf_dir).select("doc_id", "title"), "doc_id").select("query_id", "title")
+    expanded = queries.join(titles, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "title").alias("text"))
+    fused = fusion.rrf({"baseline:bm25": baseline, "expanded:bm25": ranking.bm25(index, expanded, 50)}, 10, {"expanded:bm25": 0.5})
     return fused.select("query_id", "doc_id", "score", "rank", F.col("component_ranks")["baseline:bm25"].alias("baseline"), F.col("component_ranks")["expanded:bm25"].alias("expanded"))
 
 
@@ -148,7 +148,7 @@ def i2_cosine(spark, sf_dir):
 
 def i3_subset(spark, sf_dir):
     """Documents and vectors by id: kept, and ids that lack a vector."""
-    docs, vecs = _docs(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id"), V.vectors(spark, sf_dir).select("doc_id")
+    docs, vecs = _docs(spark, sf_dir).select("doc_id"), V.vectors(spark, sf_dir).select("doc_id")
     kept = docs.join(vecs, "doc_id", "left_semi").agg(F.count("*").alias("n")).select(F.lit("kept").alias("what"), "n")
     return kept.union(docs.join(vecs, "doc_id", "left_anti").agg(F.count("*")).select(F.lit("missing"), F.col("count(1)")))
 
@@ -251,7 +251,7 @@ QUERIES = {
     )
 }
 
-_HALF = f"half_terms AS (SELECT DISTINCT item_id AS query_id, unnest({V.tokens_sql('half')}) AS term FROM (SELECT item_id, substr(text, 1, length(text) // 2) AS half FROM benchmark))"
+_HALF = f"half_terms AS (SELECT DISTINCT item_id AS query_id, unnest({V.tokens_sql('more')}) AS term FROM (SELECT item_id, concat_ws(' ', b.text, substr(d.text, 1, 80)) AS more FROM benchmark b LEFT JOIN bm25 x ON x.query_id = item_id AND x.rank = 1 LEFT JOIN documents d ON d.doc_id = x.doc_id))"
 _SCORE = "round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6)"
 
 ORACLES = {
@@ -265,11 +265,11 @@ ORACLES = {
         filled AS (SELECT query_id, doc_id, 0.0 AS score, hits + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM spare) SELECT * FROM bm25 UNION ALL SELECT * FROM filled WHERE rank <= 1200""",
     "h8_weights": f"WITH {V.INDEX}, {V.TFIDF} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS total, round(any_value(norm), 5) AS norm FROM gram_w JOIN gram_norm USING (doc_id) GROUP BY doc_id",
     "h9_tfidf": f"{_BT(10)} SELECT * FROM tfidf",
-    "h10_exclusions": f"WITH {V.INDEX} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_scores WHERE NOT (doc_id < 200 AND (doc_id + query_id) % 3 = 0)) WHERE rank <= 10",
+    "h10_exclusions": f"WITH {V.INDEX}, {V.QRELS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_scores s WHERE NOT EXISTS (SELECT 1 FROM qrels r WHERE r.query_id = s.query_id AND r.doc_id = s.doc_id)) WHERE rank <= 10",
     "h12_popularity": f"WITH {V.CORPUS} SELECT doc_id, citation_count, publication_date, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY citation_count DESC, publication_date DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50",
     "h13_recency": f"WITH {V.CORPUS} SELECT doc_id, publication_date, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY publication_date DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50",
     "h14_similar": f"""WITH {V.INDEX}, tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({V.bigrams_sql('toks')}) AS term FROM doc_tokens) GROUP BY ALL), nd AS (SELECT count(*) AS n FROM documents),
-        idf AS (SELECT term, ln((1 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM tf, nd GROUP BY term HAVING count(*) <= any_value(n) * 0.2), w AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
+        idf AS (SELECT term, ln((1 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM tf, nd GROUP BY term), w AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
         norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.w * d.w) / (any_value(a.norm) * any_value(b.norm)), 6) AS score
         FROM w q JOIN w d ON q.term = d.term AND q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id JOIN norms a ON a.doc_id = q.doc_id JOIN norms b ON b.doc_id = d.doc_id GROUP BY 1, 2)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 8""",
@@ -290,7 +290,7 @@ ORACLES = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "i1_normalised": f"WITH {_VEC} SELECT nn.vec_id AS doc_id, round(nn.e[1], 6) AS first, round(sqrt(list_sum(list_transform(nv.e, lambda y: y * y))), 5) AS norm, len(nn.e) AS dim FROM nn JOIN nv USING (vec_id)",
     "i2_cosine": f"WITH {_VEC} SELECT query_id, doc_id, score, rank FROM near WHERE rank <= 10",
-    "i3_subset": "WITH d AS (SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS has FROM documents WHERE doc_id % 3 = 0) SELECT 'kept' AS what, count(*) FILTER (has) AS n FROM d UNION ALL SELECT 'missing', count(*) FILTER (NOT has) FROM d",
+    "i3_subset": "WITH d AS (SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS has FROM documents) SELECT 'kept' AS what, count(*) FILTER (has) AS n FROM d UNION ALL SELECT 'missing', count(*) FILTER (NOT has) FROM d",
     "i4_validation": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, min(len(embedding)) AS least_dim, max(len(embedding)) AS greatest_dim, count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) <= 0) AS zero FROM embeddings",
     "o15_label_precision": f"WITH {_VEC} SELECT query_id, round(sum(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) / 10.0, 6) AS precision FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id WHERE rank <= 10 GROUP BY query_id",
     "o9_diversity": f"""{_B(10)}, {V.CORPUS}, t AS (SELECT query_id, rank, topics FROM bm25 JOIN corpus USING (doc_id))

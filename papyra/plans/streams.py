@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papyra.functions.text import tokens
+from papyra.operators import records as R
 from papyra.plans import views as V
+from papyra.sources import files
 from papyra.streaming import streams as S
 from papyra.workspace import Workspace
 
@@ -48,7 +51,30 @@ def r7_first_of_day(spark, sf_dir):
     return _run(spark, S.first_of_day(_stream(spark, sf_dir)), "first")
 
 
-QUERIES = {f.__name__: f for f in (r1_unique_impressions, r2_attribution, r3_arm_windows, r4_busy_clients, r5_daily_spend, r6_circuit_stream, r7_first_of_day)}
+def r9_late(spark, sf_dir):
+    """Late arrivals: an event arrives ``value`` hours after it happened."""
+    arrived = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 3_600_000_000).cast("long"))
+    e = S.replay(spark, sf_dir, by=arrived).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), arrived.alias("arrived"))
+    return _run(spark, S.late_counts(e), "late").groupBy("user_id").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+
+
+def r10_index(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", S.FILES_AT_ONCE).parquet(f"{path}*")
+    return S.index_upkeep(docs, tokens(F.col("text")), Workspace(spark, "stream-index"))
+
+
+def r11_import(spark, sf_dir):
+    """A snapshot of several files imported as a stream: works by rejection code."""
+    work = Workspace(spark, "stream-import")
+    d = V.corpus(spark, sf_dir).select("doc_id", "title", "retrieval_text", "language", "venue", "is_retracted", F.col("publication_date").cast("string").alias("publication_date"))
+    files.write_sorted_jsonl(d, work.path("dump"), "doc_id", 9)
+    parsed = S.lines(spark, work.path("dump")).where("trim(value) <> ''").select(F.from_json("value", "doc_id long, title string, retrieval_text string, language string, venue string, is_retracted boolean, publication_date date").alias("x")).select("x.*")
+    judged = R.rejections(parsed.withColumn("topics", F.array("language", "venue"))).select("doc_id", "code")
+    return S.drain(judged, work, "import").groupBy("code").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (r1_unique_impressions, r2_attribution, r3_arm_windows, r4_busy_clients, r5_daily_spend, r6_circuit_stream, r7_first_of_day, r9_late, r10_index, r11_import)}
 
 _E = f"WITH {V.TELEMETRY}"
 ORACLES = {
@@ -59,5 +85,10 @@ ORACLES = {
     "r5_daily_spend": f"{_E} SELECT CAST(day AS TIMESTAMP) AS day, round(sum(latency_ms), 3) AS spent, round(sum(latency_ms), 3) > 15000 AS over FROM telemetry GROUP BY day",
     "r6_circuit_stream": f"""{_E}, m AS (SELECT *, kind = 'provider_failed' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - sum(CASE WHEN kind = 'provider_failed' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM telemetry),
         s AS (SELECT user_id, count(*) AS n FROM m WHERE failed GROUP BY user_id, run) SELECT user_id, max(n) AS longest FROM s GROUP BY user_id HAVING max(n) >= 2""",
+    "r9_late": f"""{_E}, a AS (SELECT user_id, event_id, ts, epoch_us(ts) + CAST(floor(latency_ms * 3600000000) AS BIGINT) AS arrived FROM telemetry), b AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrived, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a)
+        SELECT user_id, count(*) FILTER (coalesce(ts >= before - INTERVAL 12 HOUR, true)) AS on_time, count(*) FILTER (ts < before - INTERVAL 12 HOUR) AS late FROM b GROUP BY user_id""",
+    "r10_index": f"WITH {V.INDEX} SELECT term, df FROM term_stats",
+    "r11_import": f"""WITH {V.CORPUS} SELECT CASE WHEN trim(title) = '' THEN 'missing_title' WHEN publication_date < DATE '2016-01-01' OR publication_date > DATE '2024-06-30' THEN 'outside_range' WHEN language NOT IN ('en', 'de') THEN 'language'
+        WHEN length(retrieval_text) < 60 THEN 'abstract' WHEN is_retracted THEN 'retracted' WHEN venue IN ('src3', 'src4') THEN 'topic' END AS code, count(*) AS n FROM corpus GROUP BY 1""",
     "r7_first_of_day": f"{_E} SELECT DISTINCT user_id, kind, day FROM telemetry",
 }

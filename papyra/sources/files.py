@@ -124,3 +124,43 @@ def map_crossref(raw: DataFrame) -> DataFrame:
 
 
 CROSSREF = "DOI string, title array<string>, abstract string, `published-print` struct<`date-parts`: array<array<int>>>, `published-online` struct<`date-parts`: array<array<int>>>, issued struct<`date-parts`: array<array<int>>>, created struct<`date-parts`: array<array<int>>>, link array<struct<URL: string, `content-type`: string>>, license array<struct<URL: string>>, reference array<struct<DOI: string>>"
+
+
+ATOM = "id string, title string, summary string, published string, updated string, `arxiv:doi` string, author array<struct<name: string>>, category array<struct<_term: string>>, link array<struct<_href: string, _title: string, _type: string>>"
+
+
+def map_arxiv(raw: DataFrame) -> DataFrame:
+    """Entries of an Atom feed as records: the id with its version is the external one, the work's id has none."""
+    last = F.substring_index("id", "/abs/", -1)
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    link = lambda title: F.get(F.filter("link", lambda x: x["_title"] == title), F.lit(0))["_href"]
+    return raw.select(
+        F.lit("arxiv").alias("source"), last.alias("external_id"), F.coalesce(F.nullif(clean("title"), F.lit("")), F.lit("Untitled")).alias("title"), clean("summary").alias("abstract"),
+        F.try_to_date(F.substring("published", 1, 10)).alias("publication_date"), F.try_to_date(F.substring("updated", 1, 10)).alias("updated"),
+        _ids(F.create_map(F.lit("arxiv"), scalars.normalize_arxiv(last), F.lit("doi"), scalars.normalize_doi(F.col("`arxiv:doi`")))).alias("identifiers"),
+        F.transform("author", lambda a: F.trim(a["name"])).alias("authors"), F.transform("category", lambda c: c["_term"]).alias("topics"),
+        F.coalesce(link("pdf"), F.concat(F.lit("https://arxiv.org/pdf/"), last)).alias("pdf_url"), F.coalesce(F.get(F.filter("link", lambda x: x["_type"] == "text/html"), F.lit(0))["_href"], F.col("id")).alias("landing_url"),
+    )
+
+
+LOCATIONS = "doi string, is_oa boolean, best_oa_location struct<url: string, version: string, license: string>, oa_locations array<struct<url: string, version: string, license: string>>"
+
+
+def map_open_access(raw: DataFrame) -> DataFrame:
+    """One row per location with a url: its place, version and whether it is the best one."""
+    flat = raw.select(scalars.normalize_doi(F.col("doi")).alias("doi"), "best_oa_location", F.posexplode("oa_locations").alias("place", "x")).where("trim(coalesce(x.url, '')) <> ''")
+    return flat.select("doi", "place", "x.url", scalars.version_type(F.col("x.version")).alias("version"), "x.license", F.coalesce(F.col("x").eqNullSafe(F.col("best_oa_location")), F.lit(False)).alias("is_best"))
+
+
+CATALOG = "id string, title string, authors array<struct<name: string, first: string, last: string>>, doi string, link string, links array<string>, keywords array<string>, year string"
+
+
+def map_catalog(raw: DataFrame) -> DataFrame:
+    """Records of an older catalog: names by either spelling, the first link there is, twenty keywords, a year of digits."""
+    whole = lambda a: F.trim(F.concat_ws(" ", a["first"], a["last"]))
+    name = lambda a: F.coalesce(F.nullif(F.trim(a["name"]), F.lit("")), F.nullif(whole(a), F.lit("")), F.lit("Anonymous"))
+    return raw.select(
+        "id", F.trim("title").alias("title"), F.array_distinct(F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string,first:string,last:string>>")), name)).alias("authors"),
+        F.coalesce(F.nullif("link", F.lit("")), F.get("links", F.lit(0)), F.concat(F.lit("https://doi.org/"), scalars.normalize_doi(F.col("doi")))).alias("link"),
+        F.slice("keywords", 1, 20).alias("keywords"), F.when(F.col("year").rlike("^[0-9]+$"), F.col("year").try_cast("int")).alias("year"),
+    )

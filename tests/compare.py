@@ -75,7 +75,7 @@ def main(args: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", "/tmp/papyra-warehouse").getOrCreate()
+    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", "/tmp/papyra-warehouse").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, found, queries, oracles = connect(sf_dir), 0, entry.queries(), entry.oracle_sql()
     for name in args[1:] or sorted(oracles):
