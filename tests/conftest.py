@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from papyra.workspace import clear
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
