@@ -118,7 +118,7 @@ class TfIdf:
 def gram_counts(rows: DataFrame, key: str) -> DataFrame:
     """``(key, term, tf)``: words and pairs as 64-bit hashes; the rows of a document stay together."""
     words = rows.select(key, tokens(F.col("text")).alias("_words")).repartition(key)
-    hashed = words.select(key, F.explode(F.transform(with_bigrams(F.col("_words")), lambda t: F.xxhash64(t))).alias("term"))
+    hashed = words.select(key, F.explode_outer(F.transform(with_bigrams(F.col("_words")), lambda t: F.xxhash64(t))).alias("term")).where("term is not null")  # outer: see gold_passages
     return hashed.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -157,7 +157,8 @@ def gold_passages(docs: DataFrame, items: DataFrame, window: int = 5) -> DataFra
 
     Only documents that share one run of whole words with the item are looked into: the run is taken from the inside of the
     item, so it stands in every document that holds the item.  An item with fewer words is looked up by a shorter run, one
-    without an inner word by its first three characters.
+    without an inner word by its first three characters.  The outer form of ``explode`` spares the filter that Spark otherwise
+    infers on the array, for which it would compute the array once more.
     """
     inner = F.expr("filter(split(text, '[^\\\\p{L}\\\\p{N}]+'), x -> x <> '')")
     words = items.where(F.length("text") > 0).select("query_id", F.col("text").alias("passage"), inner.alias("w")).withColumn("run", F.least(F.size("w") - 2, F.lit(window)))
@@ -165,11 +166,11 @@ def gold_passages(docs: DataFrame, items: DataFrame, window: int = 5) -> DataFra
     keyed = docs.select("doc_id", "text", inner.alias("w"))
     runs = [F.expr(f"case when size(w) >= {n} then transform(sequence(0, size(w) - {n}), i -> xxhash64(slice(w, i + 1, {n}))) else cast(array() as array<bigint>) end") for n in lengths]
     asked = words.where("run > 0").select("query_id", "passage", F.xxhash64(F.expr("slice(w, 2, run)")).alias("h"))
-    parts = [asked.join(keyed.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("h")), "h")] if runs else []
+    parts = [asked.join(keyed.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*runs))).alias("h")), "h")] if runs else []
     short = words.where("run < 1").select("query_id", "passage", F.xxhash64(F.substring("passage", 1, 3)).alias("h"), F.least(F.length("passage"), F.lit(3)).alias("n"))
     for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # 1 to 3
         grams = F.expr(f"transform(sequence(1, greatest(char_length(text) - {n} + 1, 1)), i -> xxhash64(substring(text, i, {n})))")
-        parts.append(short.where(F.col("n") == n).drop("n").join(docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")), "h"))
+        parts.append(short.where(F.col("n") == n).drop("n").join(docs.select("doc_id", F.explode_outer(F.array_distinct(grams)).alias("h")), "h"))
     if not parts:
         return items.limit(0).join(docs, items["query_id"] == docs["doc_id"]).select("query_id", "doc_id")
     near = reduce(DataFrame.unionByName, [p.select("doc_id", "query_id", "passage") for p in parts]).distinct()
@@ -178,9 +179,8 @@ def gold_passages(docs: DataFrame, items: DataFrame, window: int = 5) -> DataFra
 
 def shared_sentences(docs: DataFrame, items: DataFrame, longer_than: int = 25) -> DataFrame:
     """Pairs that share a lower-cased sentence of more than so many characters."""
-    cut = F.expr(r"explode(transform(split(lower(text), '[.!?\n]+'), x -> trim(x)))").alias("s")
-    left = docs.select("doc_id", cut).where(F.length("s") > longer_than).distinct()
-    right = items.select("query_id", cut).where(F.length("s") > longer_than).distinct()
+    cut = F.expr(r"explode_outer(filter(transform(split(lower(text), '[.!?\n]+'), x -> trim(x)), x -> char_length(x) > {n}))".replace("{n}", str(longer_than))).alias("s")
+    left, right = docs.select("doc_id", cut).where("s is not null").distinct(), items.select("query_id", cut).where("s is not null").distinct()
     return right.join(left, "s").select("query_id", "doc_id").distinct()
 
 
