@@ -35,7 +35,7 @@ from papyra.llm.rows import columns as quoted
 
 BLOCK_ROWS = 64
 #: Rows in a range of hashes, about; entries of the schedule up to which it is broadcast.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 2_000
 BROADCAST_ENTRIES = 1_000_000
 ADDED = ("block", "in_block", "weight", "period_weight", "period_slots", "release", "deadline", "slot", "mixed_order")
 
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
         named = {f"={k}": v // shared for k, v in weights.items()}
         if sum(named.values()) + max(0, size["sources"] - len(named)) > max_slots:
             raise ValueError(f"weights sum to more than {max_slots}")
-    bits = max(1, (size["rows"] // range_rows).bit_length())
+    bits = max(8, (size["rows"] // range_rows).bit_length())
     rows = rows.withColumn("range", F.expr(f"cast(shiftrightunsigned(hash, {64 - bits}) as long)"))
     counts = rows.groupBy("source", "range").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
