@@ -208,7 +208,7 @@ def keep_first(docs: DataFrame, shingle_words: int = 3, bucket_rows: int = 4096)
     gone = work.table(named.where(~chosen).select(doc, "ver").distinct(), "gone")
     twice = work.table(named.where(chosen).groupBy(doc, "ver").agg(F.count("*").alias("n")).where("n > 1").select("doc", "ver"), "twice")
     rows = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc"), _version(), checksum(docs).alias("sum"))
-    kept = rows.join(gone, ["doc", "ver"], "left_anti")
+    kept = rows.join(gone.hint("shuffle_hash"), ["doc", "ver"], "left_anti")  # alike at every size
     if twice.limit(1).count():
         once = kept.join(twice, ["doc", "ver"]).groupBy("doc", "ver").agg(F.min_by("row", "sum").alias("row"))
         kept = kept.join(twice, ["doc", "ver"], "left_anti").select("row").union(once.select("row"))
