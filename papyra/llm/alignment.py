@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from typing import NamedTuple
@@ -38,6 +38,8 @@ from papyra.workspace import Workspace
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 #: Links of a group from which they are counted by distinct ids.
 WIDE = 1024
+#: Words that a tokenizer gets at once, and segments of texts whose links are counted at once.
+AT_ONCE, WORDS = 10_000, 500_000
 PACKED = "same binary, other binary"
 BLOCK = "pair_a array<int>, pair_b array<int>, pair_docs array<int>, same_a array<int>, same_docs array<int>"
 
@@ -89,9 +91,14 @@ class Encoded(NamedTuple):
     text: pa.Array
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    return n, np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+def _flat(words: list[str], ids: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each word, their ids), from ``AT_ONCE`` words at a time: what the libraries return is large."""
+    sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), AT_ONCE):
+        some = ids(words[k : k + AT_ONCE])
+        sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
+        found.append(np.fromiter(chain.from_iterable(some), np.int64, int(sizes[-1].sum())))
+    return np.concatenate(sizes), np.concatenate(found)
 
 
 def _same_bytes(pair: Pair, k: int, n: np.ndarray, ids: np.ndarray, want: pa.Array) -> np.ndarray:
@@ -103,8 +110,8 @@ def _same_bytes(pair: Pair, k: int, n: np.ndarray, ids: np.ndarray, want: pa.Arr
 
 def encode(pair: Pair, words: pa.Array) -> Encoded:
     given = words.to_pylist()
-    n_a, a = _flat([e.ids for e in pair.a.encode_batch_fast([" " + w for w in given], add_special_tokens=False)])
-    n_b, b = _flat(pair.b.encode(given, num_threads=1))
+    n_a, a = _flat(given, lambda some: [e.ids for e in pair.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)])
+    n_b, b = _flat(given, lambda some: pair.b.encode(some, num_threads=1))
     want = pc.binary_join_element_wise("", words, " ")
     whole = _same_bytes(pair, 0, n_a, a, want) & _same_bytes(pair, 1, n_b, b, want)
     if not whole.all():
@@ -182,7 +189,7 @@ class Block:
                     else:
                         hashes[row].update(b";")
                     hashes[row].update(text.as_buffer())
-            found.append(self._links(rows, offsets, index, coded))
+            found += self._links(rows, offsets, index, coded)
         self.hash = [h.hexdigest() if h and ok else "" for h, ok in zip(hashes, self.whole, strict=True)]
         self.facts[:, ~self.whole] = 0
         doc, key, times = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
@@ -190,14 +197,25 @@ class Block:
         self._number(doc[kept], key[kept], times[kept])
 
     @staticmethod
-    def _links(rows: np.ndarray, offsets: np.ndarray, index: np.ndarray, coded: Encoded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, times), each segment of a part taken once with its count."""
-        width = len(coded.start) - 1
-        seen, often = np.unique(np.repeat(np.arange(len(rows)), np.diff(offsets)) * width + index, return_counts=True)
-        part, segment = np.divmod(seen, width)
-        n = np.diff(coded.start)[segment]
-        at = np.repeat(coded.start[segment], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(rows[part], n), coded.pair[at], coded.times[at] * np.repeat(often, n)
+    def _links(rows: np.ndarray, offsets: np.ndarray, index: np.ndarray, coded: Encoded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, pair, times), some texts at a time: each segment of a text taken once with its count."""
+        width, (pairs, own) = len(coded.start) - 1, np.unique(coded.pair, return_inverse=True)
+        low = 0
+        while low < len(rows):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + WORDS, "right")) - 1)
+            at = offsets[low : high + 1]
+            seen, often = np.unique(np.repeat(np.arange(high - low), np.diff(at)) * width + index[at[0] : at[-1]], return_counts=True)
+            text, segment = np.divmod(seen, width)
+            n = np.diff(coded.start)[segment]
+            place = np.repeat(coded.start[segment] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            code, times = np.repeat(text, n) * len(pairs) + own[place], coded.times[place] * np.repeat(often, n)
+            order = np.argsort(code)
+            code, times = code[order], times[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+            if len(first):
+                text, pair = np.divmod(code[first], len(pairs))
+                yield rows[low + text], pairs[pair], np.add.reduceat(times, first)
+            low = high
 
     def _number(self, doc: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
         a, b = key >> 32, key & 0xFFFFFFFF

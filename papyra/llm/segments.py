@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a batch, and characters from which a text is cut between two words into several parts.
-BATCH_BYTES, LONG = 32 << 20, 4 << 20
+BATCH_BYTES, LONG = 16 << 20, 4 << 20
 #: The mark by which piece models write a space; in a text it is one.
 MARK = "▁"
 
