@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("phrases", "language", "simhash", "sharding", "licenses", "urls", "mixing", "quality", "decontamination", "warc", "alignment", "tokens")
+MODULES = ("phrases", "language", "simhash", "sharding", "licenses", "urls", "mixing", "quality", "decontamination", "warc", "prefix_trie", "alignment", "tokens")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
