@@ -40,6 +40,10 @@ ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 WIDE = 1024
 #: Words that a tokenizer gets at once, and segments of texts whose links are counted at once.
 AT_ONCE, WORDS = 10_000, 500_000
+#: Words in one text for tokenizer A, which has a cost for each text.
+JOINED = 32
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 PACKED = "same binary, other binary"
 BLOCK = "pair_a array<int>, pair_b array<int>, pair_docs array<int>, same_a array<int>, same_docs array<int>"
 
@@ -108,9 +112,26 @@ def _same_bytes(pair: Pair, k: int, n: np.ndarray, ids: np.ndarray, want: pa.Arr
     return pc.equal(pc.binary_join(joined, b""), want.cast(pa.binary())).to_numpy(zero_copy_only=False)
 
 
-def encode(pair: Pair, words: pa.Array) -> Encoded:
+def _of_a(pair: Pair, words: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``plain`` words follow one another in texts of ``JOINED`` words, which A cuts before each."""
+    spaced = [" " + w for w in words]
+    texts = ["".join(spaced[k : min(k + JOINED, plain)]) for k in range(0, plain, JOINED)]
+    _, ids = _flat(texts, lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)])
+    ends, tokens = np.cumsum([len(w.encode()) for w in spaced[:plain]]), np.cumsum(pair.sizes[0][ids])
+    n = np.diff(np.append(0, np.searchsorted(tokens, ends, "right")))
+    n_rest, rest = _flat(spaced[plain:], lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)])
+    return np.append(n, n_rest), np.append(ids, rest)
+
+
+def plain_first(words: pa.Array) -> tuple[np.ndarray, int]:
+    """An order that puts words that begin with a printable ASCII character first, and their number."""
+    plain = pc.match_substring_regex(words, "^[!-~]").to_numpy(zero_copy_only=False)
+    return np.argsort(~plain, kind="stable"), int(plain.sum())
+
+
+def encode(pair: Pair, words: pa.Array, plain: int) -> Encoded:
     given = words.to_pylist()
-    n_a, a = _flat(given, lambda some: [e.ids for e in pair.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)])
+    n_a, a = _of_a(pair, given, plain)
     n_b, b = _flat(given, lambda some: pair.b.encode(some, num_threads=1))
     want = pc.binary_join_element_wise("", words, " ")
     whole = _same_bytes(pair, 0, n_a, a, want) & _same_bytes(pair, 1, n_b, b, want)
@@ -177,7 +198,9 @@ class Block:
         marked = pc.fill_null(pc.match_substring(texts, segments.MARK), False)
         for rows, parts in segments.batches(pc.if_else(marked, "", texts)):
             offsets, distinct, index = segments.segments(parts, any_start=False)
-            coded = encode(pair, distinct)
+            order, plain = plain_first(distinct)
+            coded = encode(pair, distinct.take(pa.array(order)), plain)
+            index = np.argsort(order)[index]
             self.whole[rows[~np.logical_and.reduceat(coded.whole[index], offsets[:-1])]] = False
             np.add.at(self.facts, (slice(None), rows), np.add.reduceat(coded.facts[:, index], offsets[:-1], axis=1))
             for low in range(0, len(rows), 256):
@@ -279,7 +302,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, kept: list[str] | None = No
                 plain = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("same_n", pa.int32()), ("other_n", pa.int32()), ("same", pa.binary()), ("other", pa.binary())]
                 schema = pa.schema([pa.field("block", pa.int64()), batch.schema.field(0), *(pa.field(*x) for x in plain), *lists])
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            group = (np.cumsum(sizes) - sizes) // segments.BATCH_BYTES
+            group = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
             for g in np.unique(group):
                 low, high = np.searchsorted(group, [g, g + 1])
                 yield from Block(pair, batch.column(1).slice(low, high - low)).rows(block, batch.column(0).slice(low, high - low), schema)
