@@ -39,11 +39,11 @@ ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha
 #: Links of a group from which they are counted by distinct ids.
 WIDE = 1024
 #: Words that a tokenizer gets at once, and segments of texts whose links are counted at once.
-AT_ONCE, WORDS = 10_000, 500_000
+AT_ONCE, WORDS = 10_000, 150_000
 #: Words in one text for tokenizer A, which has a cost for each text.
 JOINED = 32
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, and bytes whose distinct segments are encoded at once.
+BLOCK_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
 PACKED = "same binary, other binary"
 BLOCK = "pair_a array<int>, pair_b array<int>, pair_docs array<int>, same_a array<int>, same_docs array<int>"
 
@@ -95,11 +95,11 @@ class Encoded(NamedTuple):
     text: pa.Array
 
 
-def _flat(words: list[str], ids: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each word, their ids), from ``AT_ONCE`` words at a time: what the libraries return is large."""
+def _flat(texts: list[str], ids: Callable[[list[str]], list[list[int]]], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, their ids), from ``at_once`` texts at a time: what the libraries return is large."""
     sizes, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(0, len(words), AT_ONCE):
-        some = ids(words[k : k + AT_ONCE])
+    for k in range(0, len(texts), at_once):
+        some = ids(texts[k : k + at_once])
         sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
         found.append(np.fromiter(chain.from_iterable(some), np.int64, int(sizes[-1].sum())))
     return np.concatenate(sizes), np.concatenate(found)
@@ -116,10 +116,10 @@ def _of_a(pair: Pair, words: list[str], plain: int) -> tuple[np.ndarray, np.ndar
     """The first ``plain`` words follow one another in texts of ``JOINED`` words, which A cuts before each."""
     spaced = [" " + w for w in words]
     texts = ["".join(spaced[k : min(k + JOINED, plain)]) for k in range(0, plain, JOINED)]
-    _, ids = _flat(texts, lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)])
+    _, ids = _flat(texts, lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)], AT_ONCE // JOINED)
     ends, tokens = np.cumsum([len(w.encode()) for w in spaced[:plain]]), np.cumsum(pair.sizes[0][ids])
     n = np.diff(np.append(0, np.searchsorted(tokens, ends, "right")))
-    n_rest, rest = _flat(spaced[plain:], lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)])
+    n_rest, rest = _flat(spaced[plain:], lambda some: [e.ids for e in pair.a.encode_batch_fast(some, add_special_tokens=False)], AT_ONCE)
     return np.append(n, n_rest), np.append(ids, rest)
 
 
@@ -132,7 +132,7 @@ def plain_first(words: pa.Array) -> tuple[np.ndarray, int]:
 def encode(pair: Pair, words: pa.Array, plain: int) -> Encoded:
     given = words.to_pylist()
     n_a, a = _of_a(pair, given, plain)
-    n_b, b = _flat(given, lambda some: pair.b.encode(some, num_threads=1))
+    n_b, b = _flat(given, lambda some: pair.b.encode(some, num_threads=1), AT_ONCE)
     want = pc.binary_join_element_wise("", words, " ")
     whole = _same_bytes(pair, 0, n_a, a, want) & _same_bytes(pair, 1, n_b, b, want)
     if not whole.all():
@@ -196,7 +196,7 @@ class Block:
         self.facts, self.whole = np.zeros((4, n), np.int64), np.ones(n, bool)
         hashes, found = [None] * n, []
         marked = pc.fill_null(pc.match_substring(texts, segments.MARK), False)
-        for rows, parts in segments.batches(pc.if_else(marked, "", texts)):
+        for rows, parts in segments.batches(pc.if_else(marked, "", texts), BATCH_BYTES):
             offsets, distinct, index = segments.segments(parts, any_start=False)
             order, plain = plain_first(distinct)
             coded = encode(pair, distinct.take(pa.array(order)), plain)

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text in a batch, and characters from which a text is cut between two words into several parts.
-BATCH_BYTES, LONG = 16 << 20, 4 << 20
+#: Characters from which a text is cut between two words into several parts.
+LONG = 4 << 20
 #: The mark by which piece models write a space; in a text it is one.
 MARK = "▁"
 
@@ -34,11 +34,11 @@ def _cuts(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def batches(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """(row of each part, parts) of all texts that are neither null nor empty, about ``BATCH_BYTES`` at a time."""
+def batches(texts: pa.Array, batch_bytes: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(row of each part, parts) of all texts that are neither null nor empty, about ``batch_bytes`` at a time."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.flatnonzero(sizes)
-    group = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]) // BATCH_BYTES if len(rows) else rows
+    group = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]) // batch_bytes if len(rows) else rows
     for g in np.unique(group):
         own = rows[group == g]
         found = texts.take(pa.array(own)).cast(pa.string())

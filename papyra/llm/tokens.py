@@ -33,6 +33,8 @@ from papyra.llm.rows import columns
 LIMIT = 4096
 #: Characters from which a pre-token is merged by a queue instead of rounds.
 ROUNDS = 2000
+#: Bytes of text whose distinct pre-tokens are merged at once.
+BATCH_BYTES = 16 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -184,7 +186,7 @@ def counter(model: bytes) -> Callable[[pa.Array], np.ndarray]:
 
     def count(texts: pa.Array) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
-        for rows, parts in segments.batches(texts):
+        for rows, parts in segments.batches(texts, BATCH_BYTES):
             offsets, distinct, index = segments.segments(pc.replace_substring(parts, segments.MARK, " "), any_start=True)
             np.add.at(total, rows, np.add.reduceat(merges.counts(distinct)[index], offsets[:-1]))
         return total
