@@ -33,6 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.llm.rows import columns
 from papyra.workspace import Workspace
 
 WINDOW = 5
@@ -179,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with their own columns."""
     bad = _found(docs, benchmark, window, containment, broadcast_rows).select("doc", "ver").distinct()
-    rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _keyed(docs, F.struct(*columns(docs.columns)).alias("row"))
     return rows.join(bad, ["doc", "ver"], "left_anti").select("row.*")
 
 

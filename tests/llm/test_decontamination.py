@@ -66,3 +66,9 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     some = spark.createDataFrame([(1, "a b c d e f", "c", 1)], DOCS)
     assert contaminated(docs, items).count() == 0 and contaminated(some, items).count() == 0 and without_benchmark(some, items).count() == 1
+
+
+def test_names_with_back_quotes(spark):
+    docs = spark.createDataFrame([(1, "nothing of it", 3, 4)], "doc_id long, text string, `a``b` int, `c.d` int")
+    items = spark.createDataFrame([(1, "some other words that are here")], "item_id long, text string")
+    assert [tuple(r) for r in without_benchmark(docs, items).collect()] == [(1, "nothing of it", 3, 4)]

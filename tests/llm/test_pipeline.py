@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from papyra.llm import mixing
 from papyra.workspace import Workspace
 from tests.llm.test_simhash import brute_classes, brute_print
 
@@ -70,6 +71,19 @@ def test_further_columns_and_the_mixture_reach_the_result(spark, tmp_path, monke
     assert {(r.doc_id, r.slot) for r in got} != {(r.doc_id, r.slot) for r in without}
 
 
+def test_columns_named_like_those_of_the_stages(spark, tmp_path):
+    """Every name that a stage uses inside, and the name of the order itself, comes out with the user's values."""
+    names = [*mixing.ADDED, "Mixed_Order_", "document", "row", "_good", "rank", "a`b"]
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("the and of with from".split()) + rng.choice("abcdefgh") for _ in range(60)), "en", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert got.columns == ["doc_id", "text", "lang", "source", *names, "size", "text_crc32", "shard", "slot"]
+    assert {tuple(r)[: len(rows[0])] for r in got.collect()} == set(rows)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
