@@ -1,8 +1,8 @@
 """A corpus from raw documents to training shards: language, near-duplicates, benchmark, mixture, shards.
 
 Each stage reads all that the stage before it kept, as Parquet in the shared folder.  They return the columns
-of ``documents``, whatever further ones it has; the mixture adds ``mixed_order``, by which the last stage numbers the slots
-of each shard.
+of ``documents``, whatever further ones it has and however they are called; the mixture adds ``mixed_order`` (with as many
+underscores at its end as the name needs to be new), by which the last stage numbers the slots of each shard.
 
 Defined cases: documents without text or letters go at the first stage; rows with a null doc_id are documents like any
 other; repeated rows and copies are one class, of which the second stage keeps one row; rows that share a doc_id but not
@@ -13,6 +13,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyra.llm import decontamination, language, mixing, sharding, simhash
 from papyra.llm.rows import columns
@@ -36,14 +37,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _order_names(names: list[str]) -> tuple[str | None, str]:
+    """The name of the order that is there, the longest of its kind, and one that is not."""
+    taken, name, there = {n.lower() for n in names}, "mixed_order", None
+    while name in taken:
+        there, name = name, name + "_"
+    return there, name
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place in the mixture, ``mixed_order``."""
-    return mixing.mix(docs).select(*columns(docs.columns), "mixed_order")
+    """All documents with their place in the mixture; the rows travel as one column, apart from those of the mixture."""
+    rows = docs.select(F.struct(*columns(docs.columns)).alias("document"), "doc_id", "source")
+    return mixing.mix(rows, columns=["document"]).select("document.*", F.col("mixed_order").alias(_order_names(docs.columns)[1]))
 
 
 def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its size, checksum, shard and slot; slots follow the mixture."""
-    return sharding.shard_documents(docs, SHARDS, order="mixed_order" if "mixed_order" in docs.columns else None)
+    return sharding.shard_documents(docs, SHARDS, order=_order_names(docs.columns)[0])
 
 
 STAGES = [
