@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from papyra.llm import segments
 from papyra.llm.rows import columns
@@ -43,9 +44,12 @@ AT_ONCE, WORDS = 10_000, 150_000
 #: Words in one text for tokenizer A, which has a cost for each text.
 JOINED = 32
 #: Bytes of text in a block, and bytes whose distinct segments are encoded at once.
-BLOCK_BYTES, BATCH_BYTES = 8 << 20, 4 << 20
-PACKED = "same binary, other binary"
-BLOCK = "pair_a array<int>, pair_b array<int>, pair_docs array<int>, same_a array<int>, same_docs array<int>"
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
+#: Rows that Spark hands over at once; blocks gather them.
+ARROW_ROWS = 1000
+#: Columns of documents and of blocks between the passes, for Arrow and for Spark.
+FACTS = [pa.field(c, t) for c, t in (("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("same_n", pa.int32()), ("other_n", pa.int32()), ("same", pa.binary()), ("other", pa.binary()))]
+LISTS = [pa.field(c, pa.list_(pa.int32())) for c in ("pair_a", "pair_b", "pair_docs", "same_a", "same_docs")]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -291,24 +295,34 @@ def align(docs: DataFrame, a_path: str, b_path: str, kept: list[str] | None = No
             files.append(spark.sparkContext.broadcast(f.read()))
     names = [c for c in (docs.columns if kept is None else kept) if c not in ADDED]
     given = docs.select(F.struct(*columns(names)).alias("row") if names else F.lit(0).alias("row"), F.col("text").cast("string").alias("text"))
-    facts = T._parse_datatype_string("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, same_n int, other_n int")
-    first = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", given.schema["row"].dataType), *facts, *T._parse_datatype_string(PACKED), *T._parse_datatype_string(BLOCK)])
+    between = [T.StructField(f.name, from_arrow_type(f.type)) for f in (*FACTS, *LISTS)]
+    first = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", given.schema["row"].dataType), *between])
 
     def encode_blocks(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block, schema = Pair(files[0].value, files[1].value), TaskContext.get().partitionId() << 32, None
+        pair, block = Pair(files[0].value, files[1].value), TaskContext.get().partitionId() << 32
+        schema, texts, rows, size = None, [], [], 0
         for batch in arrived:
             if schema is None:
-                lists = [pa.field(x, pa.list_(pa.int32())) for x in ("pair_a", "pair_b", "pair_docs", "same_a", "same_docs")]
-                plain = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("same_n", pa.int32()), ("other_n", pa.int32()), ("same", pa.binary()), ("other", pa.binary())]
-                schema = pa.schema([pa.field("block", pa.int64()), batch.schema.field(0), *(pa.field(*x) for x in plain), *lists])
+                schema = pa.schema([pa.field("block", pa.int64()), batch.schema.field(0), *FACTS, *LISTS])
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            group = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
+            group = (size + np.cumsum(sizes) - sizes) // BLOCK_BYTES  # a block ends with the row that fills it
             for g in np.unique(group):
+                if g and texts:
+                    yield from Block(pair, pa.concat_arrays(texts)).rows(block, pa.concat_arrays(rows), schema)
+                    block, texts, rows, size = block + 1, [], [], 0
                 low, high = np.searchsorted(group, [g, g + 1])
-                yield from Block(pair, batch.column(1).slice(low, high - low)).rows(block, batch.column(0).slice(low, high - low), schema)
-                block += 1
-
-    coded = work.table(given.mapInArrow(encode_blocks, first), "blocks")
+                texts.append(batch.column(1).slice(low, high - low))
+                rows.append(batch.column(0).slice(low, high - low))
+                size += int(sizes[low:high].sum())
+        if texts:
+            yield from Block(pair, pa.concat_arrays(texts)).rows(block, pa.concat_arrays(rows), schema)
+
+    at_once = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    try:
+        coded = work.table(given.mapInArrow(encode_blocks, first), "blocks")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
     blocks = coded.where("pair_a is not null")
     sent = blocks.select("block", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_docs")).alias("at", "p"))
     sent = sent.select("block", "at", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_docs").alias("docs"))
@@ -340,7 +354,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, kept: list[str] | None = No
 
     back = sent.drop("docs").join(counts, ["a", "b"]).select(F.col("block").alias("home"), "at", "a", "docs")
     facts = coded.where("pair_a is null").select("block", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "same_n", "other", "other_n")
-    last = T.StructType([f for f in facts.schema if f.name not in ("block", "same", "same_n", "other", "other_n")] + list(T._parse_datatype_string("n_best long, count_sum long")))
+    last = T.StructType([f for f in facts.schema if f.name not in ("block", "same", "same_n", "other", "other_n")] + [T.StructField(c, T.LongType()) for c in ("n_best", "count_sum")])
     judged = facts.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(judge, last)
     twin = spark.createDataFrame([(int(a), int(pair.twin[a]), int(vector[a])) for a in np.flatnonzero(vector)], "a int, b int, docs long")
     return Alignment(judged.select(*(["row.*"] if names else []), *ADDED), counts.unionByName(twin))
