@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
-from papyra.operators import dense, evaluate, fusion, ranking
+from papyra.operators import dense, evaluate, fusion, layers, ranking
 from papyra.plans import views as V
 from papyra.workspace import Workspace
 
@@ -62,6 +62,24 @@ def h9_tfidf(spark, sf_dir):
     return _tfidf(spark, sf_dir, 10)
 
 
+def h6_layers(spark, sf_dir):
+    """The rows of ``h6_bm25`` from those layers of the postings that can matter."""
+    return layers.bm25(ranking.build_index(_docs(spark, sf_dir)), V.search_queries(spark, sf_dir), 10).ranking
+
+
+def h9_layers(spark, sf_dir):
+    """The rows of ``h9_tfidf`` from those layers of the postings that can matter."""
+    return layers.tfidf(ranking.build_tfidf(_docs(spark, sf_dir)), V.search_queries(spark, sf_dir), 10).ranking
+
+
+def h6_effort(spark, sf_dir):
+    """Postings of the queries' terms, those that the layered searches read, and documents that they score."""
+    queries = V.search_queries(spark, sf_dir)
+    runs = {"bm25": layers.bm25(ranking.build_index(_docs(spark, sf_dir)), queries, 10), "tfidf": layers.tfidf(ranking.build_tfidf(_docs(spark, sf_dir)), queries, 10)}
+    rows = [r.effort.agg(F.count("*").alias("queries"), *[F.sum(c).alias(c) for c in ("postings", "read", "candidates")]).withColumn("run", F.lit(n)) for n, r in runs.items()]
+    return rows[0].unionByName(rows[1]).withColumn("share_read", F.round(F.col("read") / F.col("postings"), 4))
+
+
 def h8_weights(spark, sf_dir):
     index = ranking.build_tfidf(_docs(spark, sf_dir))
     sums = index.weights.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 4).alias("total"))
@@ -246,7 +264,7 @@ _DELTAS = f"{_BT(100)}, {V.QUERIES_SQL}, {V.QRELS}, {metrics_sql('bm25', 'a', (1
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship_bm25_eval, h1_tokens, h2_ngrams, h3_postings, h4_statistics, h6_bm25, h7_padding, h8_weights, h9_tfidf, h10_exclusions, h12_popularity, h13_recency, h14_similar, h15_search, h16_page, m14_qrels, o7_run_means,
+        flagship_bm25_eval, h1_tokens, h2_ngrams, h3_postings, h4_statistics, h6_bm25, h6_layers, h6_effort, h7_padding, h8_weights, h9_tfidf, h9_layers, h10_exclusions, h12_popularity, h13_recency, h14_similar, h15_search, h16_page, m14_qrels, o7_run_means,
         j1_rrf, j4_weighted, j5_two_arms, j7_rerank, i1_normalised, i2_cosine, i3_subset, i4_validation, i8_approximate, o15_label_precision, o9_diversity, o10_catalog, o13_coverage, o14_overlap, p3_paired, p4_bootstrap, p9_strata,
     )
 }
@@ -260,11 +278,13 @@ ORACLES = {
     "h3_postings": f"WITH {V.INDEX} SELECT term, doc_id, tf FROM postings",
     "h4_statistics": f"WITH {V.INDEX} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, n, round(avgdl, 6) AS avgdl FROM term_stats, stats",
     "h6_bm25": f"{_B(10)} SELECT * FROM bm25",
+    "h6_layers": f"{_B(10)} SELECT * FROM bm25",
     "h7_padding": f"""{_B(1200)}, spare AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(h.hits, 0) AS hits FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1200) d
         LEFT JOIN (SELECT query_id, max(rank) AS hits FROM bm25 GROUP BY 1) h ON h.query_id = b.item_id WHERE NOT EXISTS (SELECT 1 FROM bm25 x WHERE x.query_id = b.item_id AND x.doc_id = d.doc_id)),
         filled AS (SELECT query_id, doc_id, 0.0 AS score, hits + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM spare) SELECT * FROM bm25 UNION ALL SELECT * FROM filled WHERE rank <= 1200""",
     "h8_weights": f"WITH {V.INDEX}, {V.TFIDF} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS total, round(any_value(norm), 5) AS norm FROM gram_w JOIN gram_norm USING (doc_id) GROUP BY doc_id",
     "h9_tfidf": f"{_BT(10)} SELECT * FROM tfidf",
+    "h9_layers": f"{_BT(10)} SELECT * FROM tfidf",
     "h10_exclusions": f"WITH {V.INDEX}, {V.QRELS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_scores s WHERE NOT EXISTS (SELECT 1 FROM qrels r WHERE r.query_id = s.query_id AND r.doc_id = s.doc_id)) WHERE rank <= 10",
     "h12_popularity": f"WITH {V.CORPUS} SELECT doc_id, citation_count, publication_date, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY citation_count DESC, publication_date DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50",
     "h13_recency": f"WITH {V.CORPUS} SELECT doc_id, publication_date, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY publication_date DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50",
