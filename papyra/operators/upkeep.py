@@ -8,12 +8,11 @@ A small manifest names the base and the batches after it; it is written aside an
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.text import tokens
+from papyra.operators.manifests import Manifest
 from papyra.operators.ranking import Index, counted_terms
 from papyra.workspace import Workspace
 
@@ -28,28 +27,12 @@ class Upkeep:
         self.work, self.spark, self.compact_after = work, work.spark, compact_after
         self.terms = tokens(F.col("text")) if terms is None else terms
 
-    def _fs(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.work.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def manifest(self) -> dict:
         """``base`` and ``deltas``: names of folders."""
-        fs, path = self._fs("manifest.json")
-        if not fs.exists(path):
-            return {"base": None, "deltas": []}
-        text = self.spark.read.text(self.work.path("manifest.json"), wholetext=True).first()[0]
-        return json.loads(text)
+        return Manifest(self.work).read({"base": None, "deltas": []})
 
     def _switch(self, manifest: dict) -> None:
-        fs, aside = self._fs("manifest-aside.json")
-        out = fs.create(aside, True)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(aside, self._fs("manifest.json")[1], rename)
+        Manifest(self.work).switch(manifest)
 
     def add(self, changes: DataFrame, version: int) -> None:
         """``changes(doc_id, text, deleted)``, each document once; versions ascend."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "graphs", "records", "online", "streams", "files", "catalog", "extras", "providers", "ingest", "curation", "encoding", "learned")
+MODULES: tuple[str, ...] = ("retrieval", "graphs", "records", "online", "streams", "files", "catalog", "extras", "providers", "ingest", "curation", "encoding", "learned", "stored")
 
 
 def queries() -> dict:

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from papyra.operators import ranking, upkeep
+from papyra.operators import ranking, sketches, upkeep
+from papyra.operators.stored import Stored
 from papyra.streaming import stateful, streams
 from papyra.workspace import Workspace
 
@@ -76,3 +77,30 @@ def test_upkeep_is_a_rebuild_after_every_batch(spark):
         numbers = store.index().numbers.first()
         assert numbers.n == len(texts)
     assert store.manifest()["base"] and len(store.manifest()["deltas"]) < 3
+
+
+def test_upserts_rewrite_only_their_buckets(spark):
+    rng = random.Random(1)
+    table = Stored(Workspace(spark, "stored"), "k long, v string, seen int", ["k"], "seen", buckets=16)
+    want, frame = {}, lambda rows: spark.createDataFrame(rows, "k long, v string, seen int")
+    assert table.merge(frame([])) == [] and table.rows().count() == 0
+    for seen in (1, 2, 2, 0):
+        rows = [(k, f"v{rng.random()}", seen) for k in (range(100) if seen == 1 else rng.sample(range(120), 4))]
+        before, touched = table.folders(), table.merge(frame(rows))
+        after = table.folders()
+        assert all(after[b] == f for b, f in before.items() if int(b) not in touched) and all(after[str(b)] != before.get(str(b)) for b in touched)
+        for k, v, s in rows:
+            if k not in want or s >= want[k][1]:
+                want[k] = (v, s)
+        assert {r.k: (r.v, r.seen) for r in table.rows().collect()} == want and table.rows().count() == len(want)
+
+
+def test_sketches_of_days_are_near_the_exact_values(spark):
+    rng = random.Random(2)
+    rows = [(d, "a" if i % 3 else "b", rng.lognormvariate(3, 1), rng.randrange(3000)) for d in range(6) for i in range(1500)]
+    days = sketches.by_day(spark.createDataFrame(rows, "day int, kind string, ms double, user long"), ["kind"], "ms", "user").where("day > 0")
+    for r in sketches.rolled_up(days, ["kind"]).collect():
+        mine = [x for x in rows if x[1] == r.kind and x[0] > 0]
+        assert r.n == len(mine) and abs(r.members / len({x[3] for x in mine}) - 1) < 0.03
+        for value, rank in ((r.q50, 0.5), (r.q95, 0.95)):
+            assert abs(sum(x[2] <= value for x in mine) / len(mine) - rank) < 0.02
