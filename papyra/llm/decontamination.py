@@ -3,7 +3,8 @@
 Texts become canonical words: lower-cased words without punctuation, in which numbers, names (capitalised words inside
 a sentence) and units (right after a number) are typed placeholders.  Windows of ``window`` canonical words, the templates,
 are hashed on both sides and joined.  A window with placeholders has a second hash, of its plain words, so that a copy in
-capitals or in lower case, which shows no names, still has the windows of the item.
+capitals or in lower case, which shows no names, still has the windows of the item.  A window of placeholders alone stands for its
+plain words only: tables of numbers do not hold each other, a verbatim copy does.
 
 A document holds a benchmark item if it has at least ``containment`` of the item's template windows and the slots agree:
 every value in the item's placeholders goes with one value in the document's (the same one in a copy, another one in a
@@ -84,11 +85,18 @@ def _hashes(words: Column, window: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, window)).alias("h")))
 
 
+def _canon_hashes(forms: Column, window: int) -> Column:
+    """Hashes of canonical windows; one of placeholders alone says nothing, so it goes by its plain words."""
+    last = F.greatest(F.size(forms["canon"]) - window, F.lit(0))
+    cut = lambda words, i: F.slice(words, i + 1, window)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.when(F.array_max(cut(forms["canon"], i)) < ":", F.xxhash64(cut(forms["plain"], i))).otherwise(F.xxhash64(cut(forms["canon"], i))).alias("h")))
+
+
 def _templates(forms: Column, window: int) -> Column:
     """Place and hash of each window of canonical words, and of its plain words where those are others."""
     none = F.array().cast("array<struct<at:int,h:bigint>>")
     other = lambda c, p: F.filter(F.zip_with(c, p, lambda x, y: F.when(x["h"] != y["h"], y)), lambda y: y.isNotNull())
-    both = _let(_hashes(forms["canon"], window), lambda c: F.concat(c, other(c, _hashes(forms["plain"], window))))
+    both = _let(_canon_hashes(forms, window), lambda c: F.concat(c, other(c, _hashes(forms["plain"], window))))
     return F.when(F.size(forms["canon"]) == 0, none).when(forms["canon"] == forms["plain"], _hashes(forms["canon"], window)).otherwise(both)
 
 

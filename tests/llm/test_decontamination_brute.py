@@ -22,11 +22,16 @@ def windows(words, n=5):
     return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
+def templates(canon, plain):
+    """Canonical and plain windows; one of placeholders alone is its plain words."""
+    return [(p if all(w[0] == "#" for w in c) else c, p) for c, p in zip(windows(canon), windows(plain), strict=True)]
+
+
 def holds(text, item, share=0.8):
     (canon, plain), (item_canon, item_plain) = words_of(text), words_of(item)
-    wanted = list(zip(windows(item_canon), windows(item_plain), strict=True))
+    wanted = templates(item_canon, item_plain)
     places = {}
-    for at, (c, p) in enumerate(zip(windows(canon), windows(plain), strict=True)):
+    for at, (c, p) in enumerate(templates(canon, plain)):
         for k, (ic, ip) in enumerate(wanted):
             if c == ic or p == ip:
                 places.setdefault(k, []).append(at - k)
@@ -106,3 +111,13 @@ def test_rows_that_share_an_id_go_by_their_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
     kept = without_benchmark(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r[2] for r in kept.collect()) == [2, 4, 5]
+
+
+def test_tables_of_numbers(spark):
+    """Unrelated numbers are no match and cost nothing; a copy of them is one."""
+    rng = random.Random(4)
+    items = [(1, " ".join(str(rng.randrange(10, 999)) for _ in range(20))), (2, " ".join(f"{rng.randrange(10, 999)} km Anna" for _ in range(8)))]
+    table = " ".join(str(rng.randrange(10, 999)) for _ in range(5000))
+    docs = [(1, table), (2, table + " " + items[0][1]), (3, "a table: " + table + ", " + items[1][1] + " end")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, 1), (3, 2)} == {(i, k) for i, text in docs[1:] for k, item in items if holds(text[-4000:], item)}
