@@ -151,6 +151,14 @@ def e4_open_access(spark, sf_dir):
     return I.open_access(w, I.location_versions(_locations(spark, sf_dir).where("work % 5 <> 0 or work % 10 = 0")))
 
 
+def e10_open_access(spark, sf_dir):
+    """Works by what their latest location says; works without any are counted too."""
+    tried = _locations(spark, sf_dir).where("work % 5 <> 0 or work % 10 = 0")
+    last = tried.groupBy("work").agg(F.max_by("version", "place").alias("status"))
+    works = _records(spark, sf_dir).select(F.col("doc_id").alias("work")).distinct()
+    return works.join(last, "work", "left").groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def e5_pending(spark, sf_dir):
     """Customers without a saved or rated event, the first hundred."""
     works = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("work"))
@@ -190,7 +198,7 @@ def e13_lookup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (c9_checksums, c12_topics, c22_filter_keys, c23_links, c24_usage, c25_filters, d1_identifiers, d2_matching, d8_provenance, d11_identifier_maps, d16_outcome, d18_gate, d20_units, d21_catalog, e2_backfill, e3_locations, e4_open_access, e5_pending, e11_audit, e12_versions, e13_lookup)
+    for f in (c9_checksums, c12_topics, c22_filter_keys, c23_links, c24_usage, c25_filters, d1_identifiers, d2_matching, d8_provenance, d11_identifier_maps, d16_outcome, d18_gate, d20_units, d21_catalog, e2_backfill, e3_locations, e4_open_access, e10_open_access, e5_pending, e11_audit, e12_versions, e13_lookup)
 }
 
 _T = r"trim(regexp_replace(replace(lower(substr(text, 1, 80)), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))"
@@ -237,6 +245,8 @@ ORACLES = {
     "e4_open_access": f"""WITH {_R}, {_LOC}, b AS (SELECT work, arg_max(url, (is_best, -place)) AS url, max(is_best) AS has_best FROM lv WHERE work % 5 <> 0 OR work % 10 = 0 GROUP BY work), w AS (SELECT doc_id AS work, doi, CASE WHEN doc_id % 10 = 0 THEN 'http://own/' || doc_id END AS pdf FROM r),
         s AS (SELECT work, pdf, url, CASE WHEN coalesce(doi, '') = '' THEN 'no_doi' WHEN url IS NULL THEN 'not_found' WHEN pdf IS NOT NULL THEN 'kept_pdf' WHEN has_best THEN 'filled' ELSE 'filled_other' END AS status FROM w LEFT JOIN b USING (work))
         SELECT work, status, status IN ('kept_pdf', 'filled', 'filled_other') AS is_open_access, CASE WHEN status IN ('kept_pdf', 'filled', 'filled_other') THEN coalesce(pdf, url) ELSE pdf END AS pdf FROM s""",
+    "e10_open_access": """WITH l AS (SELECT doc_id AS work, unnest(range(doc_id % 4 + 1)) AS place FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0), s AS (SELECT work, arg_max(CASE WHEN place = 0 THEN 'preprint' ELSE 'published' END, place) AS status FROM l GROUP BY work)
+        SELECT coalesce(status, 'none') AS status, count(*) AS n FROM documents LEFT JOIN s ON work = doc_id GROUP BY 1""",
     "e5_pending": f"WITH {V.TELEMETRY} SELECT c_custkey AS work FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM telemetry WHERE kind IN ('save', 'relevance')) ORDER BY 1 LIMIT 100",
     "e11_audit": f"""WITH {_R}, {_VERS}, w AS (SELECT digest, min(doi) AS work_doi, min(arxiv) AS work_arxiv, count(*) AS n FROM r WHERE doc_id % 2 = 0 GROUP BY 1), k AS (SELECT DISTINCT external_id AS arxiv, 1 AS has FROM v WHERE source = 'arxiv' AND doc_id % 3 = 0),
         l AS (SELECT r.*, w.work_doi, w.work_arxiv, w.n, k.has FROM r LEFT JOIN w USING (digest) LEFT JOIN k ON k.arxiv = r.arxiv WHERE r.arxiv IS NOT NULL),

@@ -127,6 +127,15 @@ def o7_run_means(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+def p12_runs(spark, sf_dir):
+    """The state of each run by what it has answered: completed, blocked where queries lack results, not applicable without queries."""
+    queries = V.search_queries(spark, sf_dir).agg(F.count("*").alias("queries"))
+    runs = {"bm25": _bm25(spark, sf_dir, 10), "tfidf": _tfidf(spark, sf_dir, 10)}
+    rows = [r.agg(F.count_distinct("query_id").alias("answered")).select(F.lit(n).alias("run"), "answered") for n, r in runs.items()]
+    status = F.when(F.col("queries") == 0, "not_applicable").when(F.col("answered") < F.col("queries"), "blocked").otherwise("completed")
+    return rows[0].unionByName(rows[1]).crossJoin(queries).select("run", "answered", "queries", status.alias("status"))  # one row
+
+
 def j1_rrf(spark, sf_dir):
     fused = fusion.rrf({"bm25": _bm25(spark, sf_dir, 100), "tfidf": _tfidf(spark, sf_dir, 100)}, 20)
     return fusion.ranks_as_columns(fused, ["bm25", "tfidf"])
@@ -264,7 +273,7 @@ _DELTAS = f"{_BT(100)}, {V.QUERIES_SQL}, {V.QRELS}, {metrics_sql('bm25', 'a', (1
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship_bm25_eval, h1_tokens, h2_ngrams, h3_postings, h4_statistics, h6_bm25, h6_layers, h6_effort, h7_padding, h8_weights, h9_tfidf, h9_layers, h10_exclusions, h12_popularity, h13_recency, h14_similar, h15_search, h16_page, m14_qrels, o7_run_means,
+        flagship_bm25_eval, h1_tokens, h2_ngrams, h3_postings, h4_statistics, h6_bm25, h6_layers, h6_effort, h7_padding, h8_weights, h9_tfidf, h9_layers, h10_exclusions, h12_popularity, h13_recency, h14_similar, h15_search, h16_page, m14_qrels, o7_run_means, p12_runs,
         j1_rrf, j4_weighted, j5_two_arms, j7_rerank, i1_normalised, i2_cosine, i3_subset, i4_validation, i8_approximate, o15_label_precision, o9_diversity, o10_catalog, o13_coverage, o14_overlap, p3_paired, p4_bootstrap, p9_strata,
     )
 }
@@ -284,6 +293,8 @@ ORACLES = {
         filled AS (SELECT query_id, doc_id, 0.0 AS score, hits + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM spare) SELECT * FROM bm25 UNION ALL SELECT * FROM filled WHERE rank <= 1200""",
     "h8_weights": f"WITH {V.INDEX}, {V.TFIDF} SELECT doc_id, count(*) AS n_terms, round(sum(w), 4) AS total, round(any_value(norm), 5) AS norm FROM gram_w JOIN gram_norm USING (doc_id) GROUP BY doc_id",
     "h9_tfidf": f"{_BT(10)} SELECT * FROM tfidf",
+    "p12_runs": f"""{_BT(10)}, a AS (SELECT 'bm25' AS run, count(DISTINCT query_id) AS answered FROM bm25 UNION ALL SELECT 'tfidf', count(DISTINCT query_id) FROM tfidf), q AS (SELECT count(*) AS queries FROM benchmark)
+        SELECT run, answered, queries, CASE WHEN queries = 0 THEN 'not_applicable' WHEN answered < queries THEN 'blocked' ELSE 'completed' END AS status FROM a, q""",
     "h9_layers": f"{_BT(10)} SELECT * FROM tfidf",
     "h10_exclusions": f"WITH {V.INDEX}, {V.QRELS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_scores s WHERE NOT EXISTS (SELECT 1 FROM qrels r WHERE r.query_id = s.query_id AND r.doc_id = s.doc_id)) WHERE rank <= 10",
     "h12_popularity": f"WITH {V.CORPUS} SELECT doc_id, citation_count, publication_date, rank, round(1.0 / rank, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY citation_count DESC, publication_date DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50",
