@@ -8,7 +8,7 @@ from papyra.functions.text import tokens
 from papyra.operators import ranking, upkeep
 from papyra.operators import records as R
 from papyra.plans import views as V
-from papyra.sources import files
+from papyra.sources import files, resumable
 from papyra.streaming import stateful
 from papyra.streaming import streams as S
 from papyra.workspace import Workspace
@@ -105,7 +105,20 @@ def r11_import(spark, sf_dir):
     return S.drain(judged, work, "import").groupBy("code").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (r1_unique_impressions, r2_attribution, r3_arm_windows, r4_busy_clients, r5_daily_spend, r6_circuit_stream, r6_breaker, r7_first_of_day, r9_late, r9_watermark, r10_index, r10_versions, r11_import)}
+def r11_resumed(spark, sf_dir):
+    """The same import in two runs of one stream: half of the dump, then what has come since; no line is lost or read twice."""
+    work = Workspace(spark, "stream-resumed")
+    resumable.register(spark)
+    d = V.corpus(spark, sf_dir).select("doc_id", "title", "retrieval_text", "language", "venue", "is_retracted", F.col("publication_date").cast("string").alias("publication_date"))
+    for half in (0, 1):
+        d.where(F.pmod("doc_id", F.lit(2)) == half).select(F.to_json(F.struct(*d.columns))).write.mode("append").text(work.path("dump"))
+        lines = spark.readStream.format("resumable_lines").option("path", work.path("dump")).load().where("trim(value) <> ''")
+        parsed = lines.select(F.from_json("value", "doc_id long, title string, retrieval_text string, language string, venue string, is_retracted boolean, publication_date date").alias("x")).select("x.*")
+        judged = S.drain(R.rejections(parsed.withColumn("topics", F.array("language", "venue"))).select("doc_id", "code"), work, "import")
+    return judged.groupBy("code").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (r1_unique_impressions, r2_attribution, r3_arm_windows, r4_busy_clients, r5_daily_spend, r6_circuit_stream, r6_breaker, r7_first_of_day, r9_late, r9_watermark, r10_index, r10_versions, r11_import, r11_resumed)}
 
 _E = f"WITH {V.TELEMETRY}"
 ORACLES = {
@@ -136,3 +149,4 @@ ORACLES = {
         WHEN length(retrieval_text) < 60 THEN 'abstract' WHEN is_retracted THEN 'retracted' WHEN venue IN ('src3', 'src4') THEN 'topic' END AS code, count(*) AS n FROM corpus GROUP BY 1""",
     "r7_first_of_day": f"{_E} SELECT DISTINCT user_id, kind, day FROM telemetry",
 }
+ORACLES["r11_resumed"] = ORACLES["r11_import"]

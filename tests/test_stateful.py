@@ -3,10 +3,13 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from papyra.operators import ranking, sketches, upkeep
 from papyra.operators.stored import Stored
+from papyra.sources import resumable
 from papyra.streaming import stateful, streams
 from papyra.workspace import Workspace
 
@@ -104,3 +107,33 @@ def test_sketches_of_days_are_near_the_exact_values(spark):
         assert r.n == len(mine) and abs(r.members / len({x[3] for x in mine}) - 1) < 0.03
         for value, rank in ((r.q50, 0.5), (r.q95, 0.95)):
             assert abs(sum(x[2] <= value for x in mine) / len(mine) - rank) < 0.02
+
+
+def test_lines_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resumable, "RANGE", 50)
+    resumable.register(spark)
+    folder, work, want = tmp_path / "in", Workspace(spark, "lines"), []
+    folder.mkdir()
+
+    def add(name, lines, end="\n"):
+        with open(folder / name, "a", newline="") as f:
+            f.write("\n".join(lines) + end)
+
+    def run():
+        stream = spark.readStream.format("resumable_lines").option("path", f"file://{folder}").load()
+        return sorted(r.value for r in streams.drain(stream, work, "out").collect())
+
+    for step in range(3):
+        for name in ("a.jsonl", f"new{step}.jsonl"):
+            lines = [f"{name} {step} line {k} é" + "x" * (k * 7 % 90) for k in range(40)]
+            add(name, lines)
+            want += lines
+        assert run() == sorted(want)
+    add("a.jsonl", ["half a line"], end="")  # waits for its end
+    assert run() == sorted(want)
+    add("a.jsonl", [" and the rest"])
+    want.append("half a line and the rest")
+    assert run() == sorted(want)
+    (folder / "a.jsonl").write_text("another file\n" * 400)
+    with pytest.raises(Exception, match="not the file that was read before"):
+        run()
