@@ -9,11 +9,12 @@ The trusted rows are split by a hash: one half is counted as the target, the oth
 the threshold together with rows labelled bad.  Of the unseen good rows that pass the base rules at most a share of ``quantile`` may
 fall below it; from there it goes down half the way to the best of the bad rows below, which costs none of these and spares
 good rows.  Without such bad rows it is the quantile of all unseen good rows less ``slack + 3 / sqrt(n)`` times the spread between it
-and the median, since a low quantile of few scores (n) is uncertain.  Trusted rows are the ``trusted_rows`` ids with the least hashes among those labelled good, bad rows as
-many of those labelled bad: bounded and documented samples, so their ids can be broadcast; the raw counts cover every document.
+and the median, since a low quantile of few scores (n) is uncertain.  Trusted rows are all rows labelled good and not toxic, bad rows all
+labelled bad, however many: each of them is counted or helps to set the threshold, and the raw counts cover every document.
 
-Everything happens inside the row (repeats are found by sorting the row's own 3-word windows), so the only shuffle is of
-counts per bucket.  The log ratios go to the rows as one array of ``buckets`` numbers.
+The measures are made inside the row (repeats are found by sorting the row's own 3-word windows).  Shuffled are counts per bucket and,
+twice, ``(doc_id, text)`` to the labels of the id, since labels grow with the corpus and may be too many to broadcast.  The quantiles
+are exact, by ranks over written ranges.  The log ratios go to the rows as one array of ``buckets`` numbers.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules with score 0; null doc_ids are judged
 but never trusted; repeated rows are judged one by one and counted as often as they are there; without trusted rows
@@ -24,15 +25,15 @@ of bytes a word; other columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.operators.samples import least_hashed
+from papyra.operators.records import with_rank
 from papyra.workspace import Workspace
 
 BUCKETS = 8192
-TRUSTED_ROWS = 20_000
 QUANTILE = 0.005
 SLACK = 0.15
 MIN_WORDS = 50
@@ -74,41 +75,59 @@ def _grams(buckets: int) -> str:
     return f"concat(transform(h, x -> cast(pmod(x, {buckets}) as int)), transform(slice(h, 2, greatest(size(h) - 1, 0)), (x, i) -> cast(pmod(xxhash64(h[i], x), {buckets}) as int)))"
 
 
+def _counted(docs: DataFrame, buckets: int, name: str) -> DataFrame:
+    """``(bucket, name)``: how often the n-grams of ``docs`` fall into each bucket."""
+    grams = _words(docs).select(F.explode_outer(F.expr(_grams(buckets))).alias("bucket")).where("bucket is not null")  # the outer form spares a filter that computes all n-grams once more
+    return grams.groupBy("bucket").agg(F.count("*").alias(name))
+
+
+def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marks(doc_id, ...)`` names, dealt by id: only ids are held in memory."""
+    return docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id")
+
+
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, raw, target)`` over all documents and over those in ``trusted(doc_id)``."""
-    marked = _words(docs.select("doc_id", "text").join(F.broadcast(trusted.select(F.col("doc_id").alias("_good"))), F.col("doc_id") == F.col("_good"), "left"), "_good")
-    grams = marked.select(F.col("_good").isNotNull().alias("good"), F.explode_outer(F.expr(_grams(buckets))).alias("bucket")).where("bucket is not null")  # the outer form spares a filter that computes all n-grams once more
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count(F.when(F.col("good"), 1)).alias("target"))
+    # written, so that the shuffled texts are removed once they are counted
+    target = Workspace(docs.sparkSession, "quality").table(_counted(_labelled(docs, trusted), buckets, "target"), "target")
+    return _counted(docs, buckets, "raw").join(target, "bucket", "left").na.fill(0, ["target"])
 
 
-def trusted_ids(labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_ids labelled good and not toxic, at most ``trusted_rows``, those with the least hashes."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return least_hashed(good, "doc_id", trusted_rows, "trusted")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
 
 
-def bad_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_ids labelled bad, at most ``rows``, those with the least hashes."""
-    return least_hashed(labels.where("quality = 0 and doc_id is not null").select("doc_id").distinct(), "doc_id", rows, "bad")
+def bad_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled bad."""
+    return labels.where("quality = 0 and doc_id is not null").select("doc_id").distinct()
+
+
+def _quantiles(scores: DataFrame, shares: list[float]) -> tuple[int, list[float]]:
+    """Rows of ``scores(score, doc_id)`` and their exact quantiles, in proportion between two neighbours; no task gets all scores."""
+    n = scores.count()
+    if not n:
+        return 0, []
+    places = [share * (n - 1) for share in shares]
+    ranks = sorted({1 + f(p) for p in places for f in (math.floor, math.ceil)})
+    at = {r["rank"] - 1: r["score"] for r in with_rank(scores, "score", "doc_id").where(F.col("rank").isin(ranks)).select("rank", "score").collect()}  # two rows a share
+    return n, [at[lo] if lo == hi else (hi - p) * at[lo] + (p - lo) * at[hi] for p, lo, hi in ((p, math.floor(p), math.ceil(p)) for p in places)]
 
 
 def _threshold(judged: DataFrame, quantile: float, slack: float) -> float:
-    """The threshold by ``judged(good, score, base_failed)``, rows that the counts have not seen as good."""
+    """The threshold by ``judged(doc_id, good, score, base_failed)``, rows that the counts have not seen as good."""
     # written before it is filtered: a filter moves to the words and would compute the rules once more for each of their parts
-    judged = Workspace(judged.sparkSession, "quality").table(judged.select("good", "score", "base_failed", (F.size("h") > 0).alias("worded")), "judged")
-    levels = [F.percentile("score", F.array(F.lit(quantile), F.lit(0.5))).alias("q"), F.count("*").alias("n")]
-    passed = judged.where("good and not base_failed").agg(*levels).first()
-    if passed["n"]:
-        worse = judged.where(~F.col("good") & ~F.col("base_failed") & (F.col("score") < passed["q"][0])).agg(F.max("score").alias("x")).first()["x"]
+    judged = Workspace(judged.sparkSession, "quality").table(judged.select("doc_id", "good", "score", "base_failed", (F.size("h") > 0).alias("worded")), "judged")
+    n, levels = _quantiles(judged.where("good and not base_failed").select("score", "doc_id"), [quantile])
+    if n:
+        worse = judged.where(~F.col("good") & ~F.col("base_failed") & (F.col("score") < levels[0])).agg(F.max("score").alias("x")).first()["x"]
         if worse is not None:
-            return round((passed["q"][0] + worse) / 2, 9)
-    every = judged.where("good and worded").agg(*levels).first()
-    return round(every["q"][0] - (slack + 3 / every["n"] ** 0.5) * (every["q"][1] - every["q"][0]), 9) if every["n"] else float("-inf")
+            return round((levels[0] + worse) / 2, 9)
+    n, levels = _quantiles(judged.where("good and worded").select("score", "doc_id"), [quantile, 0.5])
+    return round(levels[0] - (slack + 3 / n**0.5) * (levels[1] - levels[0]), 9) if n else float("-inf")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    import math
-
     counts = {r["bucket"]: (r["raw"], r["target"]) for r in gram_counts(docs, trusted, buckets).collect()}  # one row a bucket
     raw, target = sum(r for r, _ in counts.values()) + buckets, sum(t for _, t in counts.values()) + buckets
     if target == buckets:
@@ -123,13 +142,13 @@ def _scored(rows: DataFrame, ratios: list[float]) -> DataFrame:
     return rows.withColumn("score", F.expr(f"round(case when size(h) = 0 then 0D else {total} / (2 * size(h) - 1) end, 9)"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per document: the base measures, score, threshold and kept."""
-    trusted = trusted_ids(labels, trusted_rows)
+    trusted = trusted_ids(labels)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     ratios = log_ratios(docs, trusted.where(half == 0), buckets)
-    marks = trusted.where(half == 1).select("doc_id", F.lit(True).alias("good")).unionByName(bad_ids(labels, trusted_rows).select("doc_id", F.lit(False).alias("good")))
-    threshold = _threshold(_scored(base_rules(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "good"), ratios), quantile, slack)
+    marks = trusted.where(half == 1).select("doc_id", F.lit(True).alias("good")).unionByName(bad_ids(labels).select("doc_id", F.lit(False).alias("good")))
+    threshold = _threshold(_scored(base_rules(_labelled(docs, marks), "doc_id", "good"), ratios), quantile, slack)
     rows = _scored(base_rules(docs, "doc_id"), ratios).withColumn("threshold", F.lit(threshold))
     kept = ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", "threshold")

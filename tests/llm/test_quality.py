@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from papyra.llm.quality import judge
+from papyra.llm.quality import _quantiles, judge
 
 DOCS, LABELS = "doc_id long, text string, words string, t int, score string", "doc_id long, quality int, toxic int"
 
@@ -123,3 +123,40 @@ def test_labels_of_the_given_tables(spark):
     rows = [(quality[r.doc_id], r.kept) for r in judge(read("documents"), read("labels")).collect() if r.doc_id in quality and not r.base_failed]
     bad, good = [kept for label, kept in rows if label == 0], [kept for label, kept in rows if label == 1]
     assert bad.count(False) >= 0.74 * len(bad) and good.count(False) <= 0.02 * len(good)
+
+
+def test_every_labelled_row_counts_however_many(spark):
+    """24,000 good rows of one word and as many of two: all seen ones are counted, all unseen ones set the threshold."""
+    n, buckets = 24_000, 64
+    words = {i: [f"w{i * i % 37}"] + ([f"x{i % 11}"] if i % 2 else []) for i in range(n)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    got = judge(docs, spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic"), buckets=buckets, quantile=0.3).collect()
+    known = {w: hashed(w) for x in words.values() for w in x}
+    pairs = {x: hashed(known[x[0]], known[x[1]]) for x in {tuple(w) for w in words.values() if len(w) == 2}}
+    grams = {i: [known[x] % buckets for x in w] + ([pairs[tuple(w)] % buckets] if len(w) == 2 else []) for i, w in words.items()}
+    seen = {i for i in words if hashed(i, "half") % 2 == 0}
+    raw, target = Counter(k for g in grams.values() for k in g), Counter(k for i in seen for k in grams[i])
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    ratio = [math.log((target[k] + 1) / n_target) - math.log((raw[k] + 1) / n_raw) for k in range(buckets)]
+    score = {i: sum(ratio[k] for k in g) / len(g) for i, g in grams.items()}
+    unseen = [score[i] for i in words if i not in seen]
+    low, middle = np.quantile(unseen, [0.3, 0.5])
+    threshold = low - (0.15 + 3 / len(unseen) ** 0.5) * (middle - low)
+    assert len(got) == n and all(abs(r.score - score[r.doc_id]) < 1e-8 and abs(r.threshold - threshold) < 1e-8 for r in got)
+
+
+def test_labels_of_absent_documents_change_nothing(spark):
+    docs, labels = corpus()
+    labels += [(i, 0, 0) for i in (0, 10, 20, 40)]
+    table, given = spark.createDataFrame([(i, t, "c", 1, "s") for i, t in docs], DOCS), spark.createDataFrame(labels, LABELS)
+    more = given.union(spark.range(1_000_000, 1_080_000).selectExpr("id", "cast(id % 2 as int)", "0"))
+    rows = lambda x: sorted(judge(table, x, buckets=512).collect(), key=str)
+    assert rows(more) == rows(given)
+
+
+def test_quantiles_by_ranks(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 3, 250_001):
+        scores = [round(rng.choice([rng.gauss(0, 1), 0.25]), 9) for _ in range(n)]
+        counted, got = _quantiles(spark.createDataFrame(list(zip(scores, range(n), strict=True)), "score double, doc_id long"), [0.005, 0.5, 1.0])
+        assert counted == n and np.allclose(got, np.quantile(scores, [0.005, 0.5, 1.0]), rtol=0, atol=1e-12)
