@@ -10,7 +10,7 @@ from papyra.operators import blocks, layers, ranking
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in {"BLOCK_WORDS": 400, "ARROW_ROWS": 10, "BUCKET_ROWS": 500, "QUERY_BLOCK": 4, "HELD_BYTES": 20_000, "PRODUCTS": 100, "SINGLE": 6, "DENSE": 0.2}.items():
+    for name, value in {"BLOCK_WORDS": 400, "ARROW_ROWS": 10, "BUCKET_ROWS": 500, "QUERY_BLOCK": 4, "HELD_BYTES": 20_000, "PRODUCTS": 100, "SINGLE": 6, "DENSE": 0.2, "FULL": 0.3}.items():
         monkeypatch.setattr(blocks, name, value)
 
 
@@ -44,3 +44,17 @@ def test_layers_hold_the_asked_terms_alone(spark, docs, small, monkeypatch):
     for got, want in ((layers.tfidf(blocks.build(docs), queries, 5), ranking.tfidf(ranking.build_tfidf(docs), queries, 5)), (layers.bm25(blocks.build(docs, pairs=False), queries, 5), ranking.bm25(ranking.build_index(docs), queries, 5))):
         assert rows(got.ranking) == rows(want)
     assert max(p.postings.select("term").distinct().count() for p in placed) <= 10  # two queries of three words: six words and four pairs at most
+
+
+def test_what_is_kept_grows_with_the_queries(spark, monkeypatch):
+    """Every document shares a word with every query; only the best of each query leave a task."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 7).alias("text"))
+    queries, made = docs.where("doc_id < 90").withColumnRenamed("doc_id", "query_id"), {}
+    written = blocks._written
+    monkeypatch.setattr(blocks, "_written", lambda work, rows, name, *n: made.setdefault(name, written(work, rows, name, *n)))
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(blocks, "ARROW_ROWS", 20)
+    got = blocks.tfidf(blocks.build(docs), queries, 3, queries.select("query_id", F.col("query_id").alias("doc_id")))
+    assert rows(got) == rows(ranking.tfidf(ranking.build_tfidf(docs), queries, 3, queries.select("query_id", F.col("query_id").alias("doc_id"))))
+    tasks = made["trimmed"].rdd.getNumPartitions()
+    assert made["found"].count() <= 90 * 3 * tasks < 90 * 600 / 5
