@@ -58,3 +58,15 @@ def test_what_is_kept_grows_with_the_queries(spark, monkeypatch):
     assert rows(got) == rows(ranking.tfidf(ranking.build_tfidf(docs), queries, 3, queries.select("query_id", F.col("query_id").alias("doc_id"))))
     tasks = made["trimmed"].rdd.getNumPartitions()
     assert made["found"].count() <= 90 * 3 * tasks < 90 * 600 / 5
+
+
+@pytest.mark.parametrize("name", ["o7_run_means", "j4_weighted", "p6_best", "l13_explanations", "h6_effort"])
+def test_one_index_serves_all_runs(spark, monkeypatch, name):
+    from papyra.plans import registry
+
+    made, build = [], blocks.build
+    monkeypatch.setattr(blocks, "build", lambda *a, **b: made.append(1) or build(*a, **b))
+    for old in ("build_index", "build_tfidf"):
+        monkeypatch.setattr(ranking, old, lambda *a, **b: pytest.fail("a second index"))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert made == [1]
