@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.operators import blocks, layers, ranking
+from papyra.operators import blocks, dense, layers, ranking
 
 
 @pytest.fixture
@@ -70,3 +70,15 @@ def test_one_index_serves_all_runs(spark, monkeypatch, name):
         monkeypatch.setattr(ranking, old, lambda *a, **b: pytest.fail("a second index"))
     registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert made == [1]
+
+
+def test_lists_and_queries_are_multiplied_in_tasks(spark):
+    """The probed lists are read without a join of vectors, and ties at the last place go to the smaller id."""
+    rng = random.Random(3)
+    rows_ = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    rows_ += [(i + 500, v) for i, v in rows_[:40]]  # copies tie
+    vecs = spark.createDataFrame(rows_, "doc_id long, embedding array<double>")
+    asked = vecs.where("doc_id < 30").withColumnRenamed("doc_id", "query_id")
+    near = dense.approximate_top_k(vecs, asked, 4, recall=1.0, cell_rows=7)
+    assert "Join" not in near._jdf.queryExecution().toString()
+    assert rows(near) == rows(dense.cosine_top_k(vecs, asked, 4))
