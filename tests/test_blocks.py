@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.operators import blocks, dense, layers, ranking
+from papyra.operators import blocks, dense, layers, ranking, records
+from papyra.workspace import Workspace
 
 
 @pytest.fixture
@@ -82,3 +83,22 @@ def test_lists_and_queries_are_multiplied_in_tasks(spark):
     near = dense.approximate_top_k(vecs, asked, 4, recall=1.0, cell_rows=7)
     assert "Join" not in near._jdf.queryExecution().toString()
     assert rows(near) == rows(dense.cosine_top_k(vecs, asked, 4))
+
+
+def test_one_shared_word_makes_no_pair_of_titles(spark, monkeypatch):
+    rng, common, made, table = random.Random(1), [f"c{i}" for i in range(14)], {}, Workspace.table
+    sets = [["hub", f"u{i}", f"v{i}", *rng.sample(common, 7)] for i in range(30)] + [rng.sample(common, 10) for _ in range(40)]
+    sets += [rng.sample(common[:4], rng.randrange(1, 5)) for _ in range(20)]
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: made.setdefault((self.root, name), table(self, df, name)))
+    for least in (0.8, 0.4):
+        found = records.similar_sets(spark.createDataFrame(list(enumerate(sets)), "doc_id long, w array<string>"), least)
+        got = {(r.one, r.two, r.jaccard) for r in found.collect()}
+        firsts = {}
+        for i, w in enumerate(sets):
+            firsts.setdefault(frozenset(w), i)
+        want = {(i, j, round(len(a & b) / len(a | b), 6)) for a, i in firsts.items() for b, j in firsts.items() if i < j and len(a & b) / len(a | b) >= least}
+        want |= {(firsts[frozenset(w)], i, 1.0) for i, w in enumerate(sets) if firsts[frozenset(w)] != i}
+        assert got == want
+        if least == 0.8:
+            keys = next(v for (_, name), v in made.items() if name == "keys").where("doc_id < 30")
+            assert keys.groupBy("key").count().agg(F.max("count")).first()[0] < 30
